@@ -8,10 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tessera.llm import quality_rules, topk, warc
+from tessera.llm import license_scan, mixing, quality_rules, topk, warc
 from tessera.llm.common import scratch_path, table
 
 
+def op5_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).withColumn("rate", F.round("rate", 9))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.quality_profile(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -27,6 +35,8 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_poisson_mixing": op5_poisson_mixing,
+    "op6_license_scan": op6_license_scan,
     "op8_quality_rules": op8_quality_rules,
     "op9_warc": op9_warc,
     "op10_exact_top_k": op10_exact_top_k,
@@ -34,7 +44,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _STOPS = ", ".join("'" + v.replace("'", "''") + "'" for x in quality_rules.STOP_WORDS for v in (x, x.capitalize()))
 
+_TEMPLATES = ", ".join("(%d, '%s', %d, [%s], [%s]::INTEGER[])" % (i, n, s, ", ".join(f"'{g}'" for g in gr), ", ".join(map(str, c))) for i, n, s, gr, c in sorted({r[1]: (r[1], r[2], r[3], r[4], r[5]) for r in license_scan.template_rows()}.values(), key=lambda r: r[0]))
+
 ORACLE: dict[str, str] = {
+    "op5_poisson_mixing": f"""
+WITH s AS (SELECT source, sum(length(coalesce(text, '')))::DOUBLE AS size FROM documents GROUP BY source),
+r AS (SELECT source, sqrt(size) / (SELECT sum(sqrt(size)) FROM s WHERE size > 0) * (SELECT sum(size) FROM s) / size AS rate FROM s),
+j AS (SELECT source, rate, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 40)::BIGINT + 1)) AS j FROM r),
+p AS (SELECT source, rate, j, -rate + sum(CASE WHEN j = 0 THEN 0 ELSE ln(rate) - ln(j::DOUBLE) END) OVER (PARTITION BY source ORDER BY j) AS lp FROM j),
+c AS (SELECT source, rate, j, sum(exp(lp)) OVER (PARTITION BY source ORDER BY j) AS c FROM p),
+d AS (SELECT *, ('0x' || substr(md5('{mixing.SEED}:' || doc_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents),
+n AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, c.rate, count(*) AS n FROM d JOIN c ON c.source IS NOT DISTINCT FROM d.source WHERE c.c < d.u GROUP BY ALL),
+e AS (SELECT *, unnest(range(1, n + 1))::INTEGER AS copy FROM n)
+SELECT doc_id, text, lang, source, n_chars, copy, round(rate, 9) AS rate, ('0x' || substr(md5('{mixing.SEED}:' || doc_id || ':' || copy), 1, 13))::BIGINT AS shuffle_key FROM e
+""",
+    "op6_license_scan": f"""
+WITH t(id, license_id, size, grams, counts) AS (VALUES {_TEMPLATES}),
+x AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g') AS x FROM documents),
+u AS (SELECT doc_id, unnest(list_distinct(list_concat([x], regexp_split_to_array(x, '\\n[ \\n]*\\n'), string_split(x, chr(10))))) AS x FROM x),
+w AS (SELECT DISTINCT doc_id, list_filter(regexp_split_to_array(x, '[ \\n]+'), lambda y: y <> '') AS w FROM u),
+a AS (SELECT doc_id, array_to_string(w, ' ') AS passage, len(w) - 1 AS n, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS a FROM w WHERE len(w) > 1),
+m AS (SELECT doc_id, license_id, passage, 2.0::DOUBLE * list_sum(list_transform(range(1, len(grams) + 1), lambda i: least(counts[i], len(list_filter(a, lambda y: y = grams[i])))))::DOUBLE / (n + size) AS dice
+      FROM a JOIN t ON least(n, size) >= {license_scan.THRESHOLD} / (2 - {license_scan.THRESHOLD}) * greatest(n, size) - 1e-9)
+SELECT doc_id, license_id, round(max(dice), 6) AS dice, count(DISTINCT passage) AS n_passages FROM m WHERE dice >= {license_scan.THRESHOLD} - 1e-12 GROUP BY doc_id, license_id
+""",
     "op8_quality_rules": f"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 a AS (SELECT doc_id, text,
