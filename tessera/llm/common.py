@@ -31,6 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def own_prefix(df: DataFrame, start: str = "_t_") -> str:
+    """A prefix that no column of ``df`` begins with."""
+    while any(c.lower().startswith(start) for c in df.columns):
+        start = "_" + start
+    return start
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster; a folder of our own only where none is set, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -8,7 +8,7 @@ its id, so the result depends on no partitioning. Copies get a hashed key, and a
 Null sources are a source of their own, null texts have no size. A source whose texts are all empty keeps rate 1.
 Rows that repeat an id are replicated alike; rows of a null id are hashed by their text. Sources that
 given weights do not name get no copies. An empty table stays empty. Columns of the input pass through;
-``copy``, ``rate`` and ``shuffle_key`` are added under a prefix that clashes with none.
+``copy``, ``rate`` and ``shuffle_key`` are added with ``prefix`` before them, for inputs that have such columns.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import spread, stage
+from tessera.llm.common import own_prefix, spread, stage
 
 SEED = 20_240_601
 TEMPERATURE = 0.5
@@ -66,13 +66,15 @@ def mix_sources(
     id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", prefix: str = "",
 ) -> DataFrame:
     """Replicated and shuffled rows of ``docs``, with ``copy`` from 1, ``rate`` and ``shuffle_key`` added."""
-    rates = source_rates(docs, weights, temperature, budget, source_col, text_col)
+    p = own_prefix(docs)
+    rates = source_rates(docs, weights, temperature, budget, source_col, text_col).toDF(p + "source", p + "rate", p + "cdf")
     name = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
     u = _hash52(F.lit(str(seed)), name) / F.lit(float(1 << BITS))
-    out = docs.join(rates, F.col(source_col).eqNullSafe(F.col("_source")))
-    out = out.withColumn("_n", F.size(F.filter("_cdf", lambda c: c < u))).filter("_n > 0")
-    out = out.withColumn(prefix + "copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    out = out.withColumn(prefix + "shuffle_key", _hash52(F.lit(str(seed)), name, F.col(prefix + "copy").cast("string")))
-    out = out.select(*[F.col(f"`{c}`") for c in docs.columns], prefix + "copy", F.col("_rate").alias(prefix + "rate"), prefix + "shuffle_key")
+    out = docs.join(rates, F.col(source_col).eqNullSafe(F.col(p + "source")))
+    out = out.withColumn(p + "n", F.size(F.filter(p + "cdf", lambda c: c < u))).filter(F.col(p + "n") > 0)
+    out = out.withColumn(p + "copy", F.explode(F.sequence(F.lit(1), F.col(p + "n"))))
+    out = out.withColumn(p + "key", _hash52(F.lit(str(seed)), name, F.col(p + "copy").cast("string")))
     # the key is hashed: partitions are even whatever the sources, and a sort in each makes the order random throughout
-    return out.repartition(spread(docs.sparkSession), prefix + "shuffle_key").sortWithinPartitions(prefix + "shuffle_key")
+    out = out.repartition(spread(docs.sparkSession), p + "key").sortWithinPartitions(p + "key")
+    added = {p + "copy": "copy", p + "rate": "rate", p + "key": "shuffle_key"}
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(a).alias(prefix + b) for a, b in added.items()])

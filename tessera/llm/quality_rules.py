@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import let, words
+from tessera.llm.common import let, own_prefix, words
 
 #: Frequent function words of the four languages; a text needs a few of any of them.
 STOP_WORDS = (
@@ -99,7 +99,5 @@ ADDED = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_capi
 
 def quality_filter(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that every rule keeps, with the columns of ``docs``."""
-    prefix = "_q_"
-    while any(c.lower().startswith(prefix) for c in docs.columns):
-        prefix = "_" + prefix
+    prefix = own_prefix(docs)
     return quality_profile(docs, text_col, prefix).filter(F.col(prefix + "kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
