@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tessera.llm import license_scan, mixing, quality_rules, topk, warc
+from tessera.llm import html_extract, license_scan, mixing, quality_rules, topk, warc
 from tessera.llm.common import scratch_path, table
 
 
@@ -20,6 +20,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_html_min_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.quality_profile(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -37,6 +41,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_poisson_mixing": op5_poisson_mixing,
     "op6_license_scan": op6_license_scan,
+    "op7_html_min_cut": op7_html_min_cut,
     "op8_quality_rules": op8_quality_rules,
     "op9_warc": op9_warc,
     "op10_exact_top_k": op10_exact_top_k,
