@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tessera.llm import html_extract, license_scan, mixing, quality_rules, topk, warc
+from tessera.llm import html_extract, license_scan, mixing, quality_rules, sp_codec, topk, warc
 from tessera.llm.common import scratch_path, table
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp_codec.encode_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).withColumn("rate", F.round("rate", 9))
 
@@ -39,6 +43,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_sentencepiece": op3_sentencepiece,
     "op5_poisson_mixing": op5_poisson_mixing,
     "op6_license_scan": op6_license_scan,
     "op7_html_min_cut": op7_html_min_cut,
