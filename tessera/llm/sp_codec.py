@@ -49,10 +49,11 @@ class Vocabulary:
         self.floor = min((s for s, _ in self.scores.values()), default=0.0) - 10.0
         self.starts: dict[str, tuple[float, int] | None] = {p[:k]: None for p in self.scores for k in range(1, len(p))} | self.scores
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.byte_of = {i: b for b, i in enumerate(self.bytes_ or ())}
 
     def __getstate__(self):
-        return self.__dict__ | {"known": {}}
+        return self.__dict__ | {"known": {}, "older": {}}
 
 
 def load(path: str = MODEL) -> Vocabulary:
@@ -166,10 +167,12 @@ def encode(v: Vocabulary, text: str | None) -> list[int]:
                 continue
             ids = known.get(word)
             if ids is None:
-                ids = tuple(viterbi_word(v, word) if len(word) <= 2 * v.longest else viterbi(v, word))
+                ids = v.older.get(word)
+                if ids is None:
+                    ids = tuple(viterbi_word(v, word) if len(word) <= 2 * v.longest else viterbi(v, word))
                 if len(word) <= 64:
-                    if len(known) >= CACHE:
-                        known.clear()
+                    if len(known) >= CACHE:  # words not met again within two fills are forgotten
+                        v.older, v.known = known, (known := {})
                     known[word] = ids
             out += ids
     return out
