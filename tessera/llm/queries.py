@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tessera.llm import html_extract, license_scan, mixing, near_dup, quality_rules, sp_codec, topk, warc
+from tessera.llm import html_extract, license_scan, mixing, near_dup, quality_rules, sp_codec, suffix_dedup, topk, warc
 from tessera.llm.common import scratch_path, table
 
 
@@ -16,6 +16,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_dup_groups(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_codec.encode_documents(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_sentencepiece": op3_sentencepiece,
     "op5_poisson_mixing": op5_poisson_mixing,
     "op6_license_scan": op6_license_scan,
