@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import shingles as sh
 from tessera.llm.common import stage
+from tessera.session import ship
 
 U = np.uint64
 BANDS, ROWS = 32, 4
@@ -107,6 +108,7 @@ def features(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
                 cols = [batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(f1), pa.array(f2), lists(band_keys(m), n > 0), lists(odd_sketches(m), n > 0)]
                 yield pa.RecordBatch.from_arrays(cols, ["id", "n", "f1", "f2", "bands", "sketch"])
 
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "id long, n long, f1 long, f2 long, bands array<long>, sketch array<long>")
 
@@ -120,6 +122,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, k: int, id_col: str, text_col: st
                 sets, begins = sh.shingle_sets(data, offsets, k)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(sets.view(np.int64)))], ["id", "set"])
 
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids.select("id").distinct(), "id", "left_semi")
     return rows.mapInArrow(run, "id long, set array<long>")
 

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import ship
+
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CACHE = 400_000
@@ -200,6 +202,7 @@ def decode(v: Vocabulary, ids) -> str:
 
 def encode_documents(docs: DataFrame, model: str | Vocabulary = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_ids, ids, round_trip: the ids of each text, and whether they decode to it exactly."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(load(model) if isinstance(model, str) else model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,6 +226,7 @@ def encode_documents(docs: DataFrame, model: str | Vocabulary = MODEL, id_col: s
 
 def decode_documents(encoded: DataFrame, model: str | Vocabulary = MODEL, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """doc_id, text of each list of ids."""
+    ship(encoded.sparkSession)
     shared = encoded.sparkSession.sparkContext.broadcast(load(model) if isinstance(model, str) else model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import shingles as sh
 from tessera.llm.common import own_prefix, stage
+from tessera.session import ship
 
 U = np.uint64
 LENGTH, PREFIX = 50, 8
@@ -97,6 +98,7 @@ def _samples(docs: DataFrame, length: int, k: int, id_col: str, text_col: str) -
                 keys = pa.ListArray.from_arrays(pa.array(begins), pa.array(key[at].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(count, pa.int64()), pa.array(prints[0]), pa.array(prints[1]), keys], ["id", "n", "f1", "f2", "keys"])
 
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL")
     return rows.mapInArrow(run, "id long, n long, f1 long, f2 long, keys array<long>")
 
@@ -197,6 +199,7 @@ def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
 def dedup_passages(docs: DataFrame, length: int = LENGTH, k: int = PREFIX, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with each repeated passage left only where it first occurs; rows left without a word go."""
     _, spans = repeated_spans(docs, length, k, id_col, text_col)
+    ship(docs.sparkSession)
     p = own_prefix(docs)
     both = docs.join(spans.toDF(p + "id", p + "spans"), F.col(id_col) == F.col(p + "id"), "left")
 

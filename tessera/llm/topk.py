@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import spread
+from tessera.session import ship
 
 SCALE = 256
 PIVOTS = 48
@@ -72,6 +73,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
         # doubles, so that any scaled float is held; whole numbers up to 2^53 are exact
         return df.filter(sound).select(F.col(id_col).cast("long").alias(name), F.transform(v, lambda x: F.floor(x.cast("double") * SCALE).cast("double")).alias("v"))
 
+    ship(vectors.sparkSession)
     spark = vectors.sparkSession
     x, q = scaled(vectors, "id"), scaled(queries, "id")
     n_blocks = max(1, -(-x.count() // block_rows))
