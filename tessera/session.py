@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 from pathlib import Path
@@ -16,7 +17,7 @@ def ship(spark: SparkSession) -> None:
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         home = Path(__file__).resolve().parent
-        with tempfile.TemporaryDirectory() as tmp:
-            zipped = shutil.make_archive(f"{tmp}/{home.name}", "zip", home.parent, home.name)
-            spark.sparkContext.addPyFile(zipped)
+        tmp = tempfile.mkdtemp()  # executors fetch it from here, through the driver, as long as the application runs
+        atexit.register(shutil.rmtree, tmp, ignore_errors=True)
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{tmp}/{home.name}", "zip", home.parent, home.name))
         _shipped.add(app)
