@@ -16,7 +16,8 @@ no rows. Only the two named columns are read.
 4. Links are contracted to components. Buckets that still hold several components are looked at again:
    shingles that no other document there has bound each possible intersection from above, which settles most.
    What remains meets the least edited member as a second hub, and last the members of other
-   components that pass the same bounds, so that no link between different sets is lost to hubs.
+   components that pass the same bounds and that of a parity bitmap of the whole set, whose XOR never counts
+   more than the members that differ. So no link between different sets is lost to hubs.
 
 A pair of similarity 0.8 shares no band with probability (1 - 0.8^4)^32 < 1e-7.
 """
@@ -38,6 +39,7 @@ U = np.uint64
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
+PARITY_BITS = 2048
 #: Pairs whose sketches estimate less are not confirmed: the threshold less 7 standard deviations of the estimate.
 LEAST_ESTIMATE = 0.55
 _rng = np.random.default_rng(7)
@@ -82,6 +84,18 @@ def odd_sketches(m: np.ndarray) -> np.ndarray:
     return np.packbits(count & 1, axis=1, bitorder="little").view(np.uint64)
 
 
+def parities(sets: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """rows x PARITY_BITS/64: the parity of how many members of the whole set fall on each bit.
+
+    Each member that only one of two sets has flips one bit of the XOR, so its population count never
+    exceeds the number of such members: a bound, not an estimate.
+    """
+    n = len(begins) - 1
+    count = np.zeros((n, PARITY_BITS), np.uint8)
+    np.add.at(count, (np.repeat(np.arange(n), np.diff(begins)), (sh.mix(sets + _C[0]) % U(PARITY_BITS)).astype(np.int64)), 1)
+    return np.packbits(count & 1, axis=1, bitorder="little").view(np.uint64)
+
+
 def fingerprint(sets: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """128 bits of each set: sums of two mixes of its members."""
     out = []
@@ -127,6 +141,21 @@ def full_sets(docs: DataFrame, ids: DataFrame, k: int, id_col: str, text_col: st
     return rows.mapInArrow(run, "id long, set array<long>")
 
 
+def _parity_rows(sets: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            for a in range(0, len(lists), 512):
+                part = lists.slice(a, 512)
+                begins = part.offsets.to_numpy()
+                x = part.values.to_numpy(zero_copy_only=False)[begins[0] : begins[-1]].view(np.uint64)
+                bits = parities(x, begins - begins[0]).view(np.int64)
+                offsets = np.arange(len(part) + 1, dtype=np.int32) * bits.shape[1]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 512), pa.ListArray.from_arrays(pa.array(offsets), pa.array(bits.ravel()))], ["rep", "parity"])
+
+    return sets.select("id", "set").mapInArrow(run, "rep long, parity array<long>").dropDuplicates(["rep"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of ``edges`` (a, b): the least node that it is connected with.
 
@@ -206,9 +235,10 @@ def near_dup_links(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     ids = rest.select(F.col("rep").alias("id")).distinct()
     token = sets.join(ids, "id").select("id", F.explode("set").alias("token"))
     lone = token.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).filter("c = 1").groupBy("id").agg(F.count(F.lit(1)).alias("lone"))
-    size = reps.select("rep", "n", "sketch").dropDuplicates(["rep"])
+    size = reps.select("rep", "n").dropDuplicates(["rep"])
     known = size.join(ids.withColumnRenamed("id", "rep"), "rep").join(lone.withColumnRenamed("id", "rep"), "rep", "left").withColumn("c", F.col("n") - F.coalesce("lone", F.lit(0)))
-    known = stage(known.filter(100 * F.col("c") >= percent * F.col("n")).drop("lone"), "nd-known")
+    known = known.filter(100 * F.col("c") >= percent * F.col("n")).drop("lone")
+    known = stage(known.join(_parity_rows(sets.join(ids, "id")), "rep"), "nd-known")
     rest = rest.select("bucket", "rep").join(known, "rep")
 
     able = lambda c1, n1, c2, n2: (100 + percent) * F.least(c1, c2) >= percent * (n1 + n2)
@@ -217,15 +247,17 @@ def near_dup_links(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     part = stage(unresolved(rest, roots), "nd-part")
     if not part.isEmpty():
         best = stage(part.groupBy("bucket").agg(F.max_by(F.struct("rep", "n", "c", "root"), F.col("c") / F.col("n")).alias("h")), "nd-best")
-        star = part.join(best, "bucket").filter((F.col("root") != F.col("h.root")) & able(F.col("c"), F.col("n"), F.col("h.c"), F.col("h.n")))
+        star = part.drop("parity").join(best, "bucket").filter((F.col("root") != F.col("h.root")) & able(F.col("c"), F.col("n"), F.col("h.c"), F.col("h.n")))
         star = stage(_screen(star.select(F.col("rep").alias("a"), F.col("h.rep").alias("b")), reps, percent), "nd-pairs")
         found = found.unionByName(stage(_confirm(star, sets, percent), "nd-edges"))
         roots = components(found)
         part = stage(unresolved(rest, roots), "nd-part")
     if not part.isEmpty():
-        x = part.select("bucket", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("root").alias("ra"), F.col("sketch").alias("sa"))
-        y = part.select("bucket", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("root").alias("rb"), F.col("sketch").alias("sb"))
-        on = (x["bucket"] == y["bucket"]) & (F.col("ra") < F.col("rb")) & able(F.col("ca"), F.col("na"), F.col("cb"), F.col("nb")) & (_estimate(F.col("sa"), F.col("sb")) >= LEAST_ESTIMATE)
+        side = lambda i: part.select("bucket", *[F.col(c).alias(c[0] + i) for c in ("n", "c", "root", "parity")], F.col("rep").alias(i))
+        x, y = side("a"), side("b")
+        differ = F.aggregate(F.zip_with("pa", "pb", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v)
+        on = (x["bucket"] == y["bucket"]) & (F.col("ra") < F.col("rb")) & able(F.col("ca"), F.col("na"), F.col("cb"), F.col("nb"))
+        on = on & ((100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb")))
         last = stage(x.join(y, on).select("a", "b").distinct(), "nd-pairs")
         if not last.isEmpty():
             found = found.unionByName(stage(_confirm(last, sets, percent), "nd-edges"))
