@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tessera.llm import html_extract, license_scan, mixing, near_dup, quality_rules, sp_codec, suffix_dedup, topk, warc
+from tessera.llm import context_mixing, html_extract, license_scan, mixing, near_dup, quality_rules, sp_codec, suffix_dedup, topk, warc
 from tessera.llm.common import scratch_path, table
 
 
@@ -24,6 +24,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_codec.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).withColumn("rate", F.round("rate", 9))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_context_mixing": op4_context_mixing,
     "op5_poisson_mixing": op5_poisson_mixing,
     "op6_license_scan": op6_license_scan,
     "op7_html_min_cut": op7_html_min_cut,
