@@ -89,7 +89,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
     run[0] = 0
     np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * up, out=run[1:])
     h = mix((run[ends] - run[starts]) * down[starts] + (ends - starts).astype(U))
-    rows = np.searchsorted(offsets, starts, side="right") - 1
+    rows = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, offsets)))
     return h, rows, starts, ends
 
 
