@@ -1,55 +1,6 @@
-"""The registered queries: name -> function of (spark, sf_dir), and the same in DuckDB SQL."""
+"""All registered queries of the library."""
 
-from __future__ import annotations
+from tessera.queries import cna, learn, sv  # noqa: F401  they register themselves
+from tessera.queries.registry import ORACLE, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tessera.operators.clustering import cluster_stats, gap_cluster
-
-HOUR = 3_600_000_000
-
-
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "events").withColumn("pos", F.unix_micros(F.col("ts").cast("timestamp")))
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
-@query(f"""
-WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS pos, event_type, value FROM events),
-p AS (SELECT *, max(pos) OVER (PARTITION BY user_id ORDER BY pos, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM e),
-n AS (SELECT *, CASE WHEN pe IS NULL OR pe + CASE WHEN event_type = 'error' THEN {4 * HOUR} ELSE {HOUR} END < pos THEN 1 ELSE 0 END AS new FROM p),
-c AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY pos, event_id) AS cid FROM n)
-SELECT user_id, CAST(cid AS BIGINT) AS cluster_id, count(*) AS n_rows, min(pos) AS first_pos, max(pos) AS last_pos,
-       round(stddev_pop(pos / 1000000.0::DOUBLE), 3) AS starts_std_dev, round(avg(value), 3) AS mapq_mean,
-       round(median(value), 3) AS size_median
-FROM c GROUP BY user_id, cid HAVING count(DISTINCT event_id) >= 3 AND NOT bool_and(event_type = 'view')
-""")
-def gap_cluster_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _events(spark, sf_dir)
-    buffer = F.when(F.col("event_type") == "error", 4 * HOUR).otherwise(HOUR)
-    c = gap_cluster(e.select("user_id", "event_id", "pos", "event_type", "value"), ["user_id"], "pos", "pos", buffer, ["event_id"])
-    return cluster_stats(c)
-
-
-QUERIES["gap_cluster"] = QUERIES.pop("gap_cluster_query")
-ORACLE["gap_cluster"] = ORACLE.pop("gap_cluster_query")
+__all__ = ["ORACLE", "QUERIES"]

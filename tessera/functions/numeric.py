@@ -26,7 +26,7 @@ def absolute_copy_number(relative: Column, purity: Column, ploidy: Column) -> Co
 def allele_copy_number(relative: Column, share: Column, purity: Column, ploidy: Column) -> Column:
     """Copies of an allele that makes up ``share`` of the reads, not below 0, to 4 digits."""
     cn = (purity - 1 + relative * share * (2 * (1 - purity) + purity * ploidy)) / purity
-    return rounded(F.greatest(cn, F.lit(0.0)), 4)
+    return F.when(cn.isNotNull(), rounded(F.greatest(cn, F.lit(0.0)), 4))
 
 
 def search_space(low: float, high: float, by: float) -> list[float]:

@@ -88,12 +88,18 @@ def mondrian_classes(scores: DataFrame, calibration: DataFrame, confidence: floa
     """Class-conditional conformal sets: row_id, p0, p1 and the class (0, 1, -2 both, -1 neither).
 
     ``scores``: row_id, s0, s1; ``calibration``: class, score. A p-value is the share of the class's
-    calibration scores below the score, counting equal ones half. Calibration scores are looked up by rank, not paired.
+    calibration scores below the score, counting equal ones half. Scores lie in [0, 1]; they are ranked among the
+    calibration scores, never paired with them.
     """
+
     def ranks(c: int) -> DataFrame:
         pts = scores.select(F.col(f"s{c}").alias("x"), F.col("row_id"), F.lit(0).alias("cal")).unionByName(calibration.filter(F.col("class") == c).select(F.col("score").alias("x"), F.lit(None).cast("long").alias("row_id"), F.lit(1).alias("cal")))
-        by = pts.groupBy("x").agg(F.sum("cal").alias("n"))
-        run = by.withColumn("below", F.coalesce(F.sum("n").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("all", F.sum("n").over(Window.partitionBy()))
+        # running counts in two levels, a thousandth of the scores' range to a partition
+        by = pts.groupBy("x").agg(F.sum("cal").alias("n")).withColumn("part", F.floor(F.col("x") * 1000))
+        sums = by.groupBy("part").agg(F.sum("n").alias("m"))
+        sums = sums.select("part", F.coalesce(F.sum("m").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), F.sum("m").over(Window.partitionBy()).alias("all"))
+        inner = Window.partitionBy("part").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+        run = by.join(F.broadcast(sums), "part").withColumn("below", F.col("base") + F.coalesce(F.sum("n").over(inner), F.lit(0)))
         p = run.select(F.col("x").alias(f"s{c}"), ((F.col("below") + F.when(F.col("n") > 0, (F.col("n") + 1) / 2.0).otherwise(0.0)) / F.col("all")).alias(f"p{c}"))
         return p
 
@@ -111,10 +117,8 @@ def change_points(segments: DataFrame, keys: list[str], start: str = "start", en
     order = Window.partitionBy(*keys).orderBy(start)
     r = F.bround(F.col(cn)).cast("long")
     rows = segments.withColumn("_cn", r)
-    before = F.last(F.when(F.col("_cn") != 0, F.col("_cn")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     prev = F.lag("_cn").over(order)
     new = F.when(prev.isNull() | ((prev != 0) & (F.col("_cn") != prev)), 1).otherwise(0)
-    del before
     rows = rows.withColumn("_new", new).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     runs = rows.groupBy(*keys, "_run").agg(F.min(start).alias("run_start"), F.min_by(seg, start).alias("segment"))
     step = F.lead("run_start").over(Window.partitionBy(*keys).orderBy("_run"))
