@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-SLICE = 2_000_000
+SLICE = 500_000
 SET_BITS = 52
 _rng = np.random.default_rng(20_240_601)
 _P = int(_rng.integers(1 << 62, 1 << 63, dtype=np.uint64)) | 1
@@ -43,7 +43,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             a[0] = 1
             _powers[i] = np.cumprod(a, dtype=U)
     out = _powers[0][:n], _powers[1][:n]
-    if len(_powers[0]) > 16 * SLICE:  # after a giant text
+    if len(_powers[0]) > 8_000_000:  # after a giant text
         _powers[:] = [np.empty(0, U), np.empty(0, U)]
     return out
 
