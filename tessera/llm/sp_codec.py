@@ -4,8 +4,8 @@ The vocabulary comes from a SentencePiece model file; its path is a parameter, a
 pieces (a table bounded by the vocabulary). Encoding finds the segmentation of the greatest total score.
 The search keeps scores for the boundaries within the longest piece, and backpointers only back to the last
 boundary on which all surviving paths converge; ids up to there are committed. Where no piece of the vocabulary
-can span a boundary (before a space, in most vocabularies), paths always converge; the text between two
-such boundaries is searched alone and remembered.
+can span a boundary (before a space, in most vocabularies, and between letters and other signs in many), paths
+always converge; the text between two such boundaries is searched alone and remembered.
 
 Scores of unigram models are used as they stand. BPE models have merge ranks instead; a rank r counts as the
 log probability of Zipf's law, -log(r + 2.7). Characters without a piece become byte pieces (or the unknown piece
@@ -18,8 +18,11 @@ returns the text exactly. Repeated rows are encoded alike; other columns are not
 from __future__ import annotations
 
 import math
+import re
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +33,7 @@ from tessera.session import ship
 
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CACHE = 400_000
+CACHE = 300_000
 
 
 @dataclass
@@ -52,8 +55,24 @@ class Vocabulary:
         self.starts: dict[str, tuple[float, int] | None] = {p[:k]: None for p in self.scores for k in range(1, len(p))} | self.scores
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
+        self.pattern = self._boundaries()
         self.byte_of = {i: b for b, i in enumerate(self.bytes_ or ())}
 
+    def _boundaries(self) -> re.Pattern | None:
+        """Parts of a text between boundaries that no piece spans: before spaces, and between a word and a sign that follows
+        none in any piece. None where pieces run over spaces."""
+        if not self.splits:
+            return None
+        # signs that no piece holds after a letter; other word characters that some piece holds before one are named
+        before: dict[str, set[str]] = {c: set() for c in string.punctuation if c != "_"}
+        for p in self.scores:
+            for x, y in zip(p, p[1:], strict=False):
+                if y in before and re.match(r"\w", x):
+                    before[y].add(x)
+        signs = {c for c, x in before.items() if not any(map(str.isalpha, x))}
+        kind, rest = ("".join(map(re.escape, sorted(x))) for x in (signs, set().union(*(before[c] for c in signs))))
+        return re.compile(rf"{SPACE}*[^{SPACE}](?:[^{SPACE}{kind}]+|(?<![^\W{rest}])[{kind}])*|{SPACE}+" if signs else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+
     def __getstate__(self):
         return self.__dict__ | {"known": {}, "older": {}}
 
@@ -140,11 +159,24 @@ def viterbi_word(v: Vocabulary, text: str) -> list[int]:
     return out[::-1]
 
 
+def _remembered(v: Vocabulary, part: str) -> tuple[int, ...]:
+    """Ids of a part; those not met again within two fills of the memory are forgotten."""
+    ids = v.known.get(part)
+    if ids is None:
+        ids = v.older.get(part)
+        if ids is None:
+            ids = tuple(viterbi_word(v, part) if len(part) <= 2 * v.longest else viterbi(v, part))
+        if len(part) <= 64:
+            if len(v.known) >= CACHE:
+                v.older, v.known = v.known, {}
+            v.known[part] = ids
+    return ids
+
+
 def encode(v: Vocabulary, text: str | None) -> list[int]:
     if not text:
         return []
     out: list[int] = []
-    known = v.known
     mark = tuple(v.bytes_[b] for b in SPACE.encode()) if v.bytes_ else (v.unknown,)
     for k, part in enumerate(text.split(SPACE)):
         if k:
@@ -152,31 +184,14 @@ def encode(v: Vocabulary, text: str | None) -> list[int]:
         part = part.replace(" ", SPACE)
         if v.prefix and not k:
             part = SPACE + part
-        if not part:
-            continue
-        if not v.splits:
+        if v.pattern is None:
             out += viterbi(v, part)
             continue
-        runs = part.split(SPACE)
-        lead = ""
-        for i, run in enumerate(runs):  # a run of spaces goes with the word after it
-            word = lead + (SPACE if i else "") + run
-            if not run and i < len(runs) - 1:
-                lead = word
-                continue
-            lead = ""
-            if not word:
-                continue
-            ids = known.get(word)
-            if ids is None:
-                ids = v.older.get(word)
-                if ids is None:
-                    ids = tuple(viterbi_word(v, word) if len(word) <= 2 * v.longest else viterbi(v, word))
-                if len(word) <= 64:
-                    if len(known) >= CACHE:  # words not met again within two fills are forgotten
-                        v.older, v.known = known, (known := {})
-                    known[word] = ids
-            out += ids
+        parts = v.pattern.findall(part)
+        got = list(map(v.known.get, parts))
+        if None in got:
+            got = [_remembered(v, p) if ids is None else ids for p, ids in zip(parts, got, strict=True)]
+        out.extend(chain.from_iterable(got))
     return out
 
 
