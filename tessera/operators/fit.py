@@ -56,9 +56,9 @@ def local_minima(fits: DataFrame) -> DataFrame:
 
 
 def within_scale(fits: DataFrame, scale: float = 1.25) -> DataFrame:
-    """Points whose distance is less than ``scale`` times the least."""
-    least = fits.agg((F.min("distance") * scale).alias("_cut"))
-    return fits.crossJoin(F.broadcast(least)).filter("distance < _cut").drop("_cut")
+    """Points whose distance is less than ``scale`` times the least, or the least (a perfect fit has distance 0)."""
+    least = fits.agg(F.min("distance").alias("_least"))
+    return fits.crossJoin(F.broadcast(least)).filter((F.col("distance") < scale * F.col("_least")) | (F.col("distance") == F.col("_least"))).drop("_least")
 
 
 def acceptable(segments: DataFrame, fits: DataFrame, max_zero: float = 0.1, min_whole: float = 0.5, max_dist_whole: float = 0.25, main_step: float = 1.0) -> DataFrame:
@@ -69,7 +69,7 @@ def acceptable(segments: DataFrame, fits: DataFrame, max_zero: float = 0.1, min_
     cn = absolute_copy_number(F.col("relative_cn"), F.col("purity"), F.col("ploidy"))
     both = segments.select("relative_cn", "weight", "ord").crossJoin(F.broadcast(fits)).withColumn("_cn", cn).withColumn("_state", F.rint("_cn"))
     by = fits.columns
-    share = both.groupBy(*by).agg((F.sum(F.when(F.col("_cn") <= 0, F.col("weight")).otherwise(0.0)) / F.sum("weight")).alias("prop_zero"), (F.sum(F.when(F.abs(F.col("_cn") - F.col("_state")) < max_dist_whole, F.col("weight")).otherwise(0.0)) / F.sum("weight")).alias("prop_whole"))
+    share = both.groupBy(*by).agg((F.sum(F.when(F.col("_cn") <= 0, F.col("weight")).otherwise(0.0)) / F.sum("weight")).alias("prop_zero"), (F.sum(F.when(F.round(F.abs(F.col("_cn") - F.col("_state")), 9) < max_dist_whole, F.col("weight")).otherwise(0.0)) / F.sum("weight")).alias("prop_whole"))
     states = both.groupBy(*by, "_state").agg(F.count(F.lit(1)).alias("_n"), F.min("ord").alias("_first"))
     k = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("_n"), "_first"))
     modes = states.withColumn("_k", k).filter("_k <= 2").groupBy(*by).agg(F.max(F.when(F.col("_k") == 1, F.col("_state"))).alias("mode"), F.max(F.when(F.col("_k") == 2, F.col("_state"))).alias("second"))

@@ -172,7 +172,7 @@ def rank_solutions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 WITH {_GRID}, c AS (SELECT * FROM d WHERE i % 4 = 0 AND j % 10 = 0),
 x AS (SELECT f.*, round_even(f.cn, 0) + 0.0::DOUBLE AS state FROM f JOIN c USING (i, j)),
-p AS (SELECT i, j, sum(CASE WHEN cn <= 0 THEN weight ELSE 0 END) / sum(weight) AS prop_zero, sum(CASE WHEN abs(cn - state) < 0.25 THEN weight ELSE 0 END) / sum(weight) AS prop_whole FROM x GROUP BY i, j),
+p AS (SELECT i, j, sum(CASE WHEN cn <= 0 THEN weight ELSE 0 END) / sum(weight) AS prop_zero, sum(CASE WHEN round(abs(cn - state), 9) < 0.25 THEN weight ELSE 0 END) / sum(weight) AS prop_whole FROM x GROUP BY i, j),
 n AS (SELECT i, j, state, row_number() OVER (PARTITION BY i, j ORDER BY count(*) DESC, min(start)) AS k FROM x GROUP BY i, j, state),
 o AS (SELECT i, j, max(CASE WHEN k = 1 THEN state END) AS mode, max(CASE WHEN k = 2 THEN state END) AS second FROM n GROUP BY i, j)
 SELECT i, j, round(prop_zero, 6) AS prop_zero, round(prop_whole, 6) AS prop_whole, mode, second FROM p JOIN o USING (i, j) WHERE prop_zero <= 0.9 AND prop_whole >= 0.4 AND (second IS NULL OR abs(mode - second) <= 1)
@@ -186,15 +186,15 @@ def acceptable_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 WITH {_CONTIGS}, s AS (SELECT contig, start, least(start + 399, length) AS "end", 0.5::DOUBLE + (start % 1000) / 500.0::DOUBLE AS r FROM (SELECT contig, length, unnest(range(1, length + 1, 400)) AS start FROM g)),
 b AS (SELECT s.contig, s.start, 0.5::DOUBLE + avg(abs(0.5::DOUBLE - l_discount * 5)) AS baf, count(*) AS n_sites FROM s JOIN lineitem ON l_suppkey = contig AND l_partkey * 2 BETWEEN start AND "end" WHERE l_linenumber = 1 GROUP BY s.contig, s.start),
-c AS (SELECT s.contig, s.start, coalesce(n_sites, 0) AS n_sites, baf, r, (0.8 - 1 + r * (1 - baf) * (2 * (1 - 0.8) + 0.8 * 2.1)) / 0.8 AS a, (0.8 - 1 + r * baf * (2 * (1 - 0.8) + 0.8 * 2.1)) / 0.8 AS z, 2.1 + (r - 1) * (2.1 + 2 / 0.8 - 2) AS t FROM s LEFT JOIN b ON b.contig = s.contig AND b.start = s.start)
-SELECT contig, start, n_sites, round(baf, 6) AS mean_baf, round(CASE WHEN baf IS NOT NULL THEN greatest(a, 0) END, 3)::DOUBLE AS minor_cn, round(CASE WHEN baf IS NULL THEN greatest(t, 0) ELSE greatest(a, 0) + greatest(z, 0) END, 3)::DOUBLE AS copy_number FROM c
+c AS (SELECT s.contig, s.start, coalesce(n_sites, 0) AS n_sites, baf, r, (0.8::DOUBLE - 1 + r * (1 - baf) * (2 * (1 - 0.8::DOUBLE) + 0.8::DOUBLE * 2.1::DOUBLE)) / 0.8::DOUBLE AS a, (0.8::DOUBLE - 1 + r * baf * (2 * (1 - 0.8::DOUBLE) + 0.8::DOUBLE * 2.1::DOUBLE)) / 0.8::DOUBLE AS z, 2.1::DOUBLE + (r - 1) * (2.1::DOUBLE + 2 / 0.8::DOUBLE - 2) AS t FROM s LEFT JOIN b ON b.contig = s.contig AND b.start = s.start)
+SELECT contig, start, n_sites, round(baf, 6) AS mean_baf, round_even(CASE WHEN baf IS NOT NULL THEN greatest(a, 0.0::DOUBLE) END, 4) AS minor_cn, CASE WHEN baf IS NULL THEN round_even(greatest(t, 0.0::DOUBLE), 4) ELSE round_even(round_even(greatest(a, 0.0::DOUBLE), 4) + round_even(greatest(z, 0.0::DOUBLE), 4), 4) END AS copy_number FROM c
 """)
 def baf_minor_major_cn(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = bins.windows(_contigs(spark, sf_dir), 400).select("contig", "start", (F.col("end") - 1).alias("end"), (F.lit(0.5) + (F.col("start") % 1000) / F.lit(500.0)).alias("relative_cn"))
     snps = load(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.col("l_suppkey").alias("contig"), (F.col("l_partkey") * 2).alias("pos"), (F.col("l_discount") * 5).alias("af_0"))
     baf = fit.segment_baf(fit.snps_in_segments(snps, s, ["contig"], 400), ["contig", "start"])
     out = fit.absolute_segments(s.join(baf, ["contig", "start"], "left"), 0.8, 2.1)
-    return out.select("contig", "start", F.coalesce("n_sites", F.lit(0)).alias("n_sites"), F.round("mean_baf", 6).alias("mean_baf"), F.round("minor_cn", 3).alias("minor_cn"), F.round("copy_number", 3).alias("copy_number"))
+    return out.select("contig", "start", F.coalesce("n_sites", F.lit(0)).alias("n_sites"), F.round("mean_baf", 6).alias("mean_baf"), "minor_cn", "copy_number")
 
 
 _BASES = "b AS (SELECT l_suppkey AS contig, l_partkey AS pos, ['A', 'c', 'G', 't', 'N', 'AC'][(l_orderkey + l_linenumber) % 6 + 1] AS base FROM lineitem)"
