@@ -34,6 +34,7 @@ from tessera.session import ship
 
 U = np.uint64
 LENGTH, PREFIX = 50, 8
+SPANS = "array<struct<start: bigint, end: bigint, first: array<bigint>>>"
 _SALT = U(0x9E3779B97F4A7C15)
 _R = int(np.random.default_rng(11).integers(1 << 62, 1 << 63, dtype=np.uint64)) | 1
 
@@ -134,30 +135,35 @@ def _stretches(texts: DataFrame, length: int, k: int) -> DataFrame:
 
 
 def _merged(length: int):
-    """Spans that stretches cover, from their sorted starts."""
+    """Spans that stretches cover, from their starts, each with the documents in which its stretches first occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("first", pa.list_(pa.int64()))]))
         for batch in batches:
             out = []
-            for starts in batch.column(1):
-                s = np.unique(np.array(starts.as_py(), np.int64))
-                new = np.concatenate([[True], s[1:] > s[:-1] + length])
-                last = np.concatenate([s[:-1][new[1:]], s[-1:]])
-                out.append([{"start": int(a), "end": int(b) + length} for a, b in zip(s[new], last, strict=True)])
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+            for hits in batch.column(1):
+                at = hits.values.field("start").to_numpy(zero_copy_only=False).astype(np.int64)
+                first = hits.values.field("first").to_numpy(zero_copy_only=False)
+                order = np.argsort(at, kind="stable")
+                at, first = at[order], first[order]
+                new = np.concatenate([[True], at[1:] > at[:-1] + length])
+                begins = np.flatnonzero(new)
+                ends = np.append(begins[1:], len(at))
+                out.append([{"start": int(at[a]), "end": int(at[b - 1]) + length, "first": np.unique(first[a:b]).tolist()} for a, b in zip(begins, ends, strict=True)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["id", "spans"])
 
     return run
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = PREFIX, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(samples, spans): spans has (id, spans) with word offsets [start, end) for documents that repeat something."""
+    """(samples, spans): spans has (id, spans) for documents that repeat something: word offsets [start, end) and, as
+    ``first``, the documents in which parts of the span first occur."""
     samples = stage(_samples(docs, length, k, id_col, text_col), "sa-samples")
     # documents of equal words: all but the smallest id repeat it
     long_ = samples.filter(f"n >= {length}")
     equal = long_.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.max("id").alias("most"))
     equal = stage(equal.filter("rep < most").drop("most"), "sa-equal")
-    copies = stage(long_.join(equal, ["f1", "f2", "n"]).filter("id > rep").select("id", "n").distinct(), "sa-copies")
+    copies = stage(long_.join(equal, ["f1", "f2", "n"]).filter("id > rep").select("id", "n", "rep").distinct(), "sa-copies")
 
     # retained suffixes whose prefix has equals
     suffixes = long_.select("id", "keys").join(copies.select("id").distinct(), "id", "left_anti").select("id", F.explode("keys").alias("key"))
@@ -167,20 +173,23 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = PREFIX, id_co
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(own, "id")
     stretches = stage(_stretches(texts, length, k), "sa-stretches")
     twice = stretches.groupBy("hash").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("first")).filter("c > 1").drop("c")
-    gone = stretches.join(stage(twice, "sa-twice"), "hash").filter("again OR id > first").select("id", "start")
-    spans = gone.groupBy("id").agg(F.collect_list("start").alias("starts")).mapInArrow(_merged(length), "id long, spans array<struct<start: long, end: long>>")
-    whole = copies.groupBy("id").agg(F.max("n").alias("n")).select("id", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("end"))).alias("spans"))
+    gone = stretches.join(stage(twice, "sa-twice"), "hash").filter("again OR id > first").select("id", "start", "first")
+    spans = gone.groupBy("id").agg(F.collect_list(F.struct("start", "first")).alias("hits")).mapInArrow(_merged(length), f"id long, spans {SPANS}")
+    whole = copies.groupBy("id").agg(F.max("n").alias("n"), F.array_sort(F.collect_set("rep")).alias("rep"))
+    whole = whole.select("id", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("end"), F.col("rep").alias("first"))).alias("spans"))
     return samples, stage(spans.join(whole.select("id"), "id", "left_anti").unionByName(whole), "sa-spans")
 
 
 def repeated_passages(docs: DataFrame, length: int = LENGTH, k: int = PREFIX, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_repeated (words in spans), spans: for every row with an id."""
+    """doc_id, start, end, n_words, first_doc_ids: a row for each passage that its document repeats.
+
+    ``start`` and ``end`` are word offsets; ``first_doc_ids`` are the documents in which parts of the passage first occur, its
+    own among them where it repeats itself. Documents that repeat nothing have no row.
+    """
     samples, spans = repeated_spans(docs, length, k, id_col, text_col)
-    out = samples.select("id", "n").join(spans, "id", "left")
-    spans = F.filter(F.coalesce("spans", F.array().cast("array<struct<start: bigint, end: bigint>>")), lambda s: s["start"] < F.col("n"))
-    spans = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.least(s["end"], F.col("n")).alias("end")))
-    out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_words"), spans.alias("spans"))
-    return out.select("doc_id", "n_words", F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]).alias("n_repeated"), "spans")
+    out = samples.select("id", "n").distinct().join(spans, "id").select("id", "n", F.explode("spans").alias("s")).filter("s.start < n")
+    end = F.least("s.end", "n")
+    return out.select(F.col("id").alias("doc_id"), F.col("s.start").alias("start"), end.alias("end"), (end - F.col("s.start")).alias("n_words"), F.col("s.first").alias("first_doc_ids")).distinct()
 
 
 def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:

@@ -63,14 +63,23 @@ def test_spans_match_brute_force(spark):
         rows = corpus(seed)
         df = spark.createDataFrame([(*r, 1, "c") for r in rows], "doc_id long, text string, n int, keys string")
         want = brute(rows)
-        got = {r["doc_id"]: r for r in sd.repeated_passages(df, L, K).collect()}
-        assert got.keys() == want.keys()
-        for i, (n, gone) in want.items():
-            assert got[i]["n_words"] == n
-            assert {x for s in got[i]["spans"] for x in range(s["start"], s["end"])} == gone, i
-            assert got[i]["n_repeated"] == len(gone)
-        cut = {r["doc_id"]: r for r in sd.dedup_passages(df, L, K).collect()}
+        got, where = {}, {}
+        for r in sd.repeated_passages(df, L, K).collect():
+            got.setdefault(r["doc_id"], []).append(r)
+            assert r["n_words"] == r["end"] - r["start"] >= L
+        for i, t in rows:
+            w = words(t)
+            for p in range(len(w) - L + 1):
+                where.setdefault(tuple(w[p : p + L]), set()).add(i)
         text = dict(rows)
+        assert got.keys() == {i for i, (_, gone) in want.items() if gone}
+        for i, found in got.items():
+            assert {x for r in found for x in range(r["start"], r["end"])} == want[i][1], i
+            w = words(text[i])
+            if text[i] not in [t for j, t in rows if j < i]:
+                first = {min(where[tuple(w[p : p + L])]) for r in found for p in range(r["start"], r["end"] - L + 1)}
+                assert {x for r in found for x in r["first_doc_ids"]} <= first and first - {i} <= {x for r in found for x in r["first_doc_ids"]}
+        cut = {r["doc_id"]: r for r in sd.dedup_passages(df, L, K).collect()}
         for i, (n, gone) in want.items():
             left = [x for j, x in enumerate(words(text[i])) if j not in gone]
             assert (i not in cut) == (not left and bool(gone))
@@ -83,8 +92,8 @@ def test_odd_rows(spark):
     p = " ".join(f"w{i}" for i in range(60))
     rows = [(1, None), (2, ""), (3, " \n "), (4, p), (5, "x y " + p + " z"), (5, "x y " + p + " z"), (None, p), (None, p), (6, "long " * 30_000), (7, "q" * 100_000), (8, p.upper())]
     df = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, spans string")
-    got = sorted((r["doc_id"], r["n_repeated"]) for r in sd.repeated_passages(df).collect())
-    assert got == [(1, 0), (2, 0), (3, 0), (4, 0), (5, 60), (5, 60), (6, 29_999), (7, 0), (8, 0)]
+    got = sorted((r["doc_id"], r["n_words"], r["first_doc_ids"]) for r in sd.repeated_passages(df).collect())
+    assert got == [(5, 60, [4]), (6, 29_999, [6])]
     cut = sorted(((r["doc_id"], (r["text"] or "")[:20], r["spans"]) for r in sd.dedup_passages(df).collect()), key=repr)
     assert (5, "x y z", "c") in cut and (None, p[:20], "c") in cut and len(cut) == len(rows)
     assert sd.repeated_passages(df.limit(0)).count() == 0 and sd.dedup_passages(df.limit(0)).count() == 0
