@@ -11,6 +11,14 @@ from tessera.plans.params import CallParams
 from tessera.sources import readers
 
 
+def share(text: str) -> float:
+    """A number from 0 to 1."""
+    x = float(text)
+    if not 0 <= x <= 1:
+        raise argparse.ArgumentTypeError(f"not within 0 and 1: {text}")
+    return x
+
+
 def main(argv: list[str] | None = None) -> None:
     top = argparse.ArgumentParser(prog="tessera")
     sub = top.add_subparsers(dest="command", required=True)
@@ -33,7 +41,8 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--custom_params")
     p.add_argument("--custom_model")
     p.add_argument("--min_support", type=int, default=7)
-    p.add_argument("--min_af", type=float, default=0.1)
+    p.add_argument("--min_af", type=share, default=0.1)
+    p.add_argument("--pb", action="store_true")
     p = sub.add_parser("evaluate", help="compare variants with a truth set")
     p.add_argument("--input", required=True)
     p.add_argument("--truth", required=True)
@@ -55,7 +64,7 @@ def main(argv: list[str] | None = None) -> None:
         names = ("length", "mapq", "buffer", "insertion_buffer", "end_buffer", "min_support", "single_bnd", "keep_inv_artefact")
         workflows.run(spark, a.tumour, getattr(a, "normal", None), a.ref_index, a.outdir, a.contigs, CallParams(**{n: getattr(a, n) for n in names}))
     elif a.command == "classify":
-        workflows.classify_vcf(spark, a.vcf, a.output, a.custom_params, a.custom_model, a.min_support, a.min_af)
+        workflows.classify_vcf(spark, a.vcf, a.output, a.custom_params, a.custom_model, a.min_support, a.min_af, a.pb)
     elif a.command == "evaluate":
         workflows.evaluate_vcf(spark, a.input, a.truth, a.overlap_buffer, a.qual_filter).show()
     elif a.command == "train":

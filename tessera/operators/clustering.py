@@ -81,3 +81,11 @@ def flip_recluster(df: DataFrame, keys: list[str], start: str, end: str, spans:
     reverse = F.max(F.when((F.col("_open") == 1) & F.col(spans) & (F.col(end) < F.col(start)), 1).otherwise(0)).over(past)
     flipped = flipped.withColumn("_new", F.when(F.coalesce(reverse, F.lit(0)) == 1, 0).otherwise(F.col("_open")))
     return flipped.withColumn(name, F.sum("_new").over(so_far).cast("long")).drop("_open", "_new")
+
+
+def run_stats(df: DataFrame, by: list[str], read: str = "read_name", mapq: str = "mapq", start: str = "start") -> DataFrame:
+    """One row: mapping quality of distinct reads, sizes and widths of all clusters."""
+    reads = df.groupBy(read).agg(F.max(mapq).alias("_q")).agg(F.avg("_q").alias("mean_mapq"), F.median("_q").alias("median_mapq")).withColumn("_", F.lit(1))
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), (F.max(start) - F.min(start)).alias("_w"))
+    sizes = sizes.agg(F.count(F.lit(1)).alias("n_clusters"), F.avg("_n").alias("mean_size"), F.median("_n").alias("median_size"), F.max("_n").alias("max_size"), F.avg("_w").alias("mean_width")).withColumn("_", F.lit(1))
+    return sizes.join(reads, "_").drop("_")

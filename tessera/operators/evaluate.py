@@ -52,3 +52,18 @@ def precision_recall(n_true: DataFrame, n_calls: int | None = None) -> DataFrame
     r = F.when(F.col("tp") + F.col("fn") > 0, F.col("tp") / (F.col("tp") + F.col("fn"))).otherwise(0.0)
     f = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
     return n_true.select("tp", "fp", "fn", F.round(p, 3).alias("precision"), F.round(r, 3).alias("recall"), F.round(f, 3).alias("f_measure"))
+
+
+def labelled(calls: DataFrame, matches: DataFrame, call_id: str, truth_id: str, name: str = "FOUND_IN_BOTH", missing: str = "NOT_IN_COMPARISON") -> DataFrame:
+    """``calls`` with LABEL, LABEL_VARIANT_ID and DISTANCE_TO_MATCH from their matches; ``name`` is the truth set's label."""
+    m = matches.select(F.col(call_id).alias("_c"), F.col(truth_id).alias("LABEL_VARIANT_ID"), F.col("distance").alias("DISTANCE_TO_MATCH"))
+    out = calls.join(m, F.col(call_id) == F.col("_c"), "left").drop("_c")
+    return out.withColumn("LABEL", F.when(F.col("LABEL_VARIANT_ID").isNull(), missing).otherwise(name))
+
+
+def inherit_from_mates(calls: DataFrame, call_id: str, mate_id: str, missing: str = "NOT_IN_COMPARISON") -> DataFrame:
+    """Unlabelled calls take their mate's label with the prefix MATE_."""
+    m = calls.select(F.col(call_id).alias("_m"), F.col("LABEL").alias("_l"))
+    out = calls.join(m, F.col(mate_id) == F.col("_m"), "left")
+    takes = (F.col("LABEL") == missing) & F.col("_l").isNotNull() & (F.col("_l") != missing)
+    return out.withColumn("LABEL", F.when(takes, F.concat(F.lit("MATE_"), F.col("_l"))).otherwise(F.col("LABEL"))).drop("_m", "_l")

@@ -26,8 +26,8 @@ def run(spark: SparkSession, tumour: str, normal: str | None, fai: str, out: str
     return called
 
 
-def classify_vcf(spark: SparkSession, vcf: str, out: str, params: str | None = None, model: str | None = None, min_support: int = 7, min_af: float = 0.1, features: tuple[str, ...] = ()) -> DataFrame:
-    """Somatic variants by parameters (JSON), by a saved model, or by rule; written as Parquet with their class."""
+def classify_vcf(spark: SparkSession, vcf: str, out: str, params: str | None = None, model: str | None = None, min_support: int = 7, min_af: float = 0.1, pb: bool = False) -> DataFrame:
+    """Somatic variants by parameters (JSON), by a saved model, or by rule (``pb``: that for high-accuracy reads); written as Parquet with their class."""
     v = readers.read_vcf(spark, vcf)
     if params:
         out_df = classify.by_params(v, readers.read_params(params)).withColumn("CLASS", F.array_join("categories", ","))
@@ -37,6 +37,8 @@ def classify_vcf(spark: SparkSession, vcf: str, out: str, params: str | None = N
         scored = ml.predict(PipelineModel.load(model), ml.format_features(v))
         rows = scored.select("ID", "MATEID", F.col("prediction").alias("pred"), F.col("TUMOUR_READ_SUPPORT").alias("tumour"), F.col("NORMAL_READ_SUPPORT").alias("normal"), F.coalesce(F.col("TUMOUR_AF_0"), F.lit(0.0)).alias("af"), F.coalesce(F.col("NORMAL_AF_0"), F.lit(0.0)).alias("normal_af"), F.lit(False).alias("amplified"))
         out_df = v.join(classify.reconcile_model_classes(rows, min_support, min_af).select("ID", "class"), "ID").withColumn("CLASS", F.when(F.col("class") == 1, "PREDICTED_SOMATIC").when(F.col("class") == 2, "PREDICTED_GERMLINE").otherwise("PREDICTED_NOISE"))
+    elif pb:
+        out_df = classify.with_mates(v, classify.pacbio_somatic(min_support, min_af), "somatic").withColumn("CLASS", F.when(F.col("somatic"), "SOMATIC").otherwise("FAIL"))
     else:
         rule = classify.params_predicate({"MAX_NORMAL_READ_SUPPORT": 0, "MIN_TUMOUR_READ_SUPPORT": min_support})
         out_df = classify.with_mates(v, rule, "somatic").withColumn("CLASS", F.when(F.col("somatic"), "SOMATIC").otherwise("NOISE"))

@@ -328,3 +328,25 @@ def bedpe_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = notation.bedpe_line(chrom, c("call_id"), chrom, c("truth_id"), c("call_id"), c("distance"), c("call_id") % 7, c("call_id") % 3, F.lit("+-"))
     return m.select("call_id", line.alias("line"), "truth_id")
 
+
+
+@query(f"""
+WITH {_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY distance, truth_id) AS k FROM m),
+c AS (SELECT event_id AS call_id, event_id // 4 * 4 + (event_id + 2) % 4 AS mate FROM e WHERE event_id % 2 = 0),
+l AS (SELECT c.call_id, mate, r.truth_id AS v, r.distance AS d, CASE WHEN r.truth_id IS NULL THEN 'NOT_IN_COMPARISON' ELSE 'SOMATIC' END AS label FROM c LEFT JOIN r ON r.call_id = c.call_id AND k = 1)
+SELECT a.call_id, coalesce(a.v, -1) AS "LABEL_VARIANT_ID", coalesce(a.d, -1) AS "DISTANCE_TO_MATCH", CASE WHEN a.label = 'NOT_IN_COMPARISON' AND b.label = 'SOMATIC' THEN 'MATE_SOMATIC' ELSE a.label END AS "LABEL" FROM l a LEFT JOIN l b ON a.mate = b.call_id
+""")
+def label_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = events(spark, sf_dir).filter("event_id % 2 = 0").select(F.col("event_id").alias("call_id"), F.expr("event_id div 4 * 4 + (event_id + 2) % 4").alias("mate"))
+    found = evaluate.labelled(calls, evaluate.nearest(_pairs(spark, sf_dir), "call_id", "truth_id"), "call_id", "truth_id", "SOMATIC")
+    return evaluate.inherit_from_mates(found, "call_id", "mate").select("call_id", *[F.coalesce(c, F.lit(-1)).cast("long").alias(c) for c in ("LABEL_VARIANT_ID", "DISTANCE_TO_MATCH")], "LABEL")
+
+
+@query(f"""
+WITH {_CLUSTERED}, q AS (SELECT event_id // 2 AS r, max(value) AS q FROM c GROUP BY event_id // 2), s AS (SELECT count(*) AS n, max(pos) - min(pos) AS w FROM c GROUP BY user_id, cluster_id)
+SELECT count(*) AS n_clusters, round(avg(n), 6) AS mean_size, median(n) AS median_size, max(n) AS max_size, round(avg(w), 3) AS mean_width, round((SELECT avg(q) FROM q), 6) AS mean_mapq, round((SELECT median(q) FROM q), 6) AS median_mapq FROM s
+""")
+def cluster_run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _clustered(spark, sf_dir).withColumn("read_name", F.expr("event_id div 2"))
+    got = clustering.run_stats(c, ["user_id", "cluster_id"], "read_name", "value", "pos")
+    return got.select("n_clusters", F.round("mean_size", 6).alias("mean_size"), "median_size", "max_size", F.round("mean_width", 3).alias("mean_width"), F.round("mean_mapq", 6).alias("mean_mapq"), F.round("median_mapq", 6).alias("median_mapq"))

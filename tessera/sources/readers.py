@@ -110,3 +110,10 @@ def truth_edges(v: DataFrame, min_qual: float | None = None) -> DataFrame:
     ends = F.array_compact(F.array((F.col("POS") - 1).alias("a"), col("END", "long"), col("END2", "long")))
     length = F.abs(F.element_at(F.col("SVLEN"), 1)) if dict(v.dtypes).get("SVLEN", "").startswith("array") else F.abs(col("SVLEN", "long"))
     return kept.select(F.col("ID").alias("variant_id"), F.regexp_replace("CHROM", "^chr", "").alias("contig"), F.explode(ends).alias("pos"), length.alias("length"), col("SVTYPE", "string").alias("kind"))
+
+
+def read_allele_counts(spark: SparkSession, path: str, min_depth: int = 20) -> DataFrame:
+    """Allele counts of heterozygous sites, deeper than ``min_depth``: contig, pos, ref, alt, bases, dp, af_0, af_1, block_id."""
+    schema = "contig string, pos long, _end long, ref string, alt string, A long, C long, G long, T long, N long, af_0 double, af_1 double, block_id string"
+    rows = spark.read.csv(path, sep="\t", schema=schema).drop("_end")
+    return rows.withColumn("dp", F.expr("A + C + G + T + N")).filter(F.col("dp") > min_depth)
