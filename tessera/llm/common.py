@@ -75,6 +75,27 @@ def unstage(spark: SparkSession) -> int:
     return n
 
 
+def flag_maybe_in(rows: DataFrame, key: str, ids: DataFrame, id_col: str, flag: str, bits: int = 24) -> DataFrame:
+    """``rows`` with ``flag``: false only where the key is surely not among ``ids``.
+
+    A bitmap of hashed ids, of 2^(bits - 6) rows of 64 bits at most, is broadcast, so that joins after it shuffle little
+    else than wanted rows. With more ids than bits it flags more, and the join still decides.
+    """
+    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(1 << bits))
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), (place(c) % 64).cast("int"))
+    p = own_prefix(rows)
+    words = ids.select(F.floor(place(id_col) / 64).alias(p + "w"), bit(id_col).alias(p + "b")).groupBy(p + "w").agg(F.bit_or(p + "b").alias(p + "bits"))
+    words = stage(words, "bitmap")
+    out = rows.withColumn(p + "w", F.floor(place(key) / 64)).join(F.broadcast(words), p + "w", "left")
+    return out.withColumn(flag, F.coalesce(F.col(p + "bits").bitwiseAND(bit(key)) != 0, F.lit(False))).drop(p + "w", p + "bits")
+
+
+def maybe_in(rows: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFrame:
+    """``rows`` without most of those whose key is not among ``ids``; none that is goes."""
+    flag = own_prefix(rows) + "maybe"
+    return flag_maybe_in(rows, key, ids, id_col, flag).filter(F.col(flag)).drop(flag)
+
+
 def spread(spark: SparkSession) -> int:
     """Partitions for an explicit repartition."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import shingles as sh
-from tessera.llm.common import own_prefix, stage
+from tessera.llm.common import flag_maybe_in, maybe_in, own_prefix, stage
 from tessera.session import ship
 
 U = np.uint64
@@ -170,7 +170,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = PREFIX, id_co
     found = stage(suffixes.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"), "sa-prefixes")
     own = stage(suffixes.join(found, "key").distinct().groupBy("id").agg(F.collect_list("key").alias("keys")), "sa-own")
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(own, "id")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = maybe_in(texts, "id", own, "id").join(own, "id")
     stretches = stage(_stretches(texts, length, k), "sa-stretches")
     twice = stretches.groupBy("hash").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("first")).filter("c > 1").drop("c")
     gone = stretches.join(stage(twice, "sa-twice"), "hash").filter("again OR id > first").select("id", "start", "first")
@@ -210,7 +211,8 @@ def dedup_passages(docs: DataFrame, length: int = LENGTH, k: int = PREFIX, id_co
     _, spans = repeated_spans(docs, length, k, id_col, text_col)
     ship(docs.sparkSession)
     p = own_prefix(docs)
-    both = docs.join(spans.toDF(p + "id", p + "spans"), F.col(id_col) == F.col(p + "id"), "left")
+    flagged = flag_maybe_in(docs, id_col, spans, "id", p + "maybe")  # texts that surely stay whole are not shuffled
+    both = flagged.filter(F.col(p + "maybe")).drop(p + "maybe").join(spans.toDF(p + "id", p + "spans"), F.col(id_col) == F.col(p + "id"), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,4 +225,5 @@ def dedup_passages(docs: DataFrame, length: int = LENGTH, k: int = PREFIX, id_co
             yield pa.RecordBatch.from_arrays(cols, schema=batch.schema).filter(keep).drop_columns([p + "spans"])
 
     both = both.drop(p + "id")
-    return both.mapInArrow(run, both.drop(p + "spans").schema)
+    whole = flagged.filter(~F.col(p + "maybe")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return both.mapInArrow(run, both.drop(p + "spans").schema).unionByName(whole)
