@@ -13,6 +13,7 @@ no rows. Only the two named columns are read.
 3. In a bucket (documents that share a band) all are compared with one hub, never with each other: a
    number of pairs linear in the rows. The sketch discards pairs estimated far below the threshold
    (by over 5 standard deviations), the rest are confirmed on full sets.
+   Joins are merge joins at every size: which side is small depends on the data.
 4. Links are contracted to components. Buckets that still hold several components are looked at again:
    shingles that no other document there has bound each possible intersection from above, which settles most.
    What remains meets the least edited member as a second hub, and last the members of other
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import shingles as sh
-from tessera.llm.common import stage
+from tessera.llm.common import flag_maybe_in, maybe_in, own_prefix, stage
 from tessera.session import ship
 
 U = np.uint64
@@ -137,7 +138,9 @@ def full_sets(docs: DataFrame, ids: DataFrame, k: int, id_col: str, text_col: st
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(sets.view(np.int64)))], ["id", "set"])
 
     ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids.select("id").distinct(), "id", "left_semi")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    ids = stage(ids.select("id").distinct(), "nd-ids")
+    rows = maybe_in(rows, "id", ids, "id").join(ids.hint("merge"), "id", "left_semi")
     return rows.mapInArrow(run, "id long, set array<long>")
 
 
@@ -188,7 +191,7 @@ def _estimate(x: Column, y: Column) -> Column:
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     x, y = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
-    both = pairs.select("a", "b").join(x, "a").join(y, "b")
+    both = pairs.select("a", "b").join(x.hint("merge"), "a").join(y.hint("merge"), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.filter(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
@@ -197,7 +200,7 @@ def _screen(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that sizes and sketches allow, once each."""
     slim = reps.select("rep", "n", "sketch").dropDuplicates(["rep"])
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    both = pairs.join(slim.toDF("a", "na", "sa"), "a").join(slim.toDF("b", "nb", "sb"), "b")
+    both = pairs.join(slim.toDF("a", "na", "sa").hint("merge"), "a").join(slim.toDF("b", "nb", "sb").hint("merge"), "b")
     sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
     return both.filter(sizes & (_estimate(F.col("sa"), F.col("sb")) >= LEAST_ESTIMATE)).select("a", "b")
 
@@ -207,13 +210,13 @@ def near_dup_links(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     f = stage(features(docs, k, id_col, text_col), "nd-features")
     equal = f.filter("n > 0 AND id IS NOT NULL").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.max("id").alias("most"))
     equal = stage(equal.filter("rep < most").drop("most"), "nd-equal")
-    rows = stage(f.join(equal, ["f1", "f2", "n"], "left").withColumn("rep", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id"))).select("id", "n", "rep", "bands", "sketch"), "nd-rows")
+    rows = stage(f.join(equal.hint("merge"), ["f1", "f2", "n"], "left").withColumn("rep", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id"))).select("id", "n", "rep", "bands", "sketch"), "nd-rows")
     reps = rows.filter("id = rep AND n > 0").select("rep", "n", "bands", "sketch")
 
     # buckets of two members or more, each with a hub
     band = reps.select("rep", F.explode("bands").alias("bucket"))
     hubs = stage(band.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("most")).filter("hub < most").drop("most"), "nd-hubs")
-    members = stage(band.join(hubs, "bucket"), "nd-members")
+    members = stage(band.join(hubs.hint("merge"), "bucket"), "nd-members")
     pairs = _screen(members.filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")), reps, percent)
     pairs = stage(pairs, "nd-pairs")
     sets = stage(full_sets(docs, members.select(F.col("rep").alias("id")), k, id_col, text_col), "nd-sets")
@@ -224,7 +227,7 @@ def near_dup_links(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
 
     # buckets that hold several components: members, their components, and what of them others there share
     def unresolved(members: DataFrame, roots: DataFrame) -> DataFrame:
-        at = members.join(roots.toDF("rep", "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+        at = members.join(roots.toDF("rep", "root").hint("merge"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
         at = stage(at, "nd-at")
         open_ = at.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket")
         return at.join(stage(open_, "nd-open"), "bucket")
@@ -233,7 +236,7 @@ def near_dup_links(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     if rest.isEmpty():
         return rows, roots
     ids = rest.select(F.col("rep").alias("id")).distinct()
-    token = sets.join(ids, "id").select("id", F.explode("set").alias("token"))
+    token = sets.join(ids.hint("merge"), "id").select("id", F.explode("set").alias("token"))
     lone = token.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).filter("c = 1").groupBy("id").agg(F.count(F.lit(1)).alias("lone"))
     size = reps.select("rep", "n").dropDuplicates(["rep"])
     known = size.join(ids.withColumnRenamed("id", "rep"), "rep").join(lone.withColumnRenamed("id", "rep"), "rep", "left").withColumn("c", F.col("n") - F.coalesce("lone", F.lit(0)))
@@ -268,7 +271,7 @@ def near_dup_links(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
 def near_dup_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
     rows, roots = near_dup_links(docs, k, percent, id_col, text_col)
-    out = rows.select("id", "n", "rep").join(roots.toDF("rep", "root"), "rep", "left")
+    out = rows.select("id", "n", "rep").join(roots.toDF("rep", "root").hint("merge"), "rep", "left")
     component = F.when(F.col("n") > 0, F.coalesce("root", "rep", "id")).otherwise(F.col("id"))
     out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -277,7 +280,9 @@ def near_dup_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` for each group, that of the smallest id; rows of a null id all stay."""
     gone = near_dup_groups(docs, k, percent, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.join(stage(gone, "nd-gone"), id_col, "left_anti")
+    gone, flag = stage(gone, "nd-gone"), own_prefix(docs) + "maybe"
+    flagged = flag_maybe_in(docs, id_col, gone, id_col, flag)  # texts that surely stay are not shuffled
+    kept = flagged.filter(~F.col(flag)).unionByName(flagged.filter(F.col(flag)).join(gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in flagged.columns]))
     again = stage(docs.groupBy(id_col).count().filter(f"count > 1 AND {id_col} IS NOT NULL").select(id_col), "nd-again")
     kept = kept.select(*[F.col(f"`{c}`") for c in docs.columns])
     if again.isEmpty():
