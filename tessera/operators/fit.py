@@ -141,7 +141,9 @@ def kde_modes(values: np.ndarray, points: int = 1000, least: float = 0.1) -> lis
         return []
     width = x.std(ddof=1) * len(x) ** -0.2
     at = np.linspace(x.min() - width, x.max() + width, points)
-    density = np.exp(-0.5 * ((at[:, None] - x[None]) / width) ** 2).sum(1) if len(x) < 20_000 else np.histogram(x, bins=points, range=(at[0], at[-1]))[0].astype(float)
+    density = np.zeros(points)
+    for i in range(0, len(x), 20_000):  # some values at a time, so that memory stays small
+        density += np.exp(-0.5 * ((at[:, None] - x[None, i : i + 20_000]) / width) ** 2).sum(1)
     turn = np.sign(np.diff(density))
     peaks = [i for i in range(1, points - 1) if turn[i - 1] > 0 and turn[i] <= 0]
     cuts = [0, *[a + int(np.argmin(density[a:b])) for a, b in zip(peaks, peaks[1:], strict=False)], points]

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.functions import cigar, notation, numeric
@@ -147,3 +148,13 @@ def test_forest_and_conformal_sets(spark):
 def test_pileup(spark):
     reads = spark.createDataFrame([("c", 10, 0, 60, "2S3M1I2M1D2M", "NNACGTACGT"), ("c", 10, 0x100, 60, "3M", "AAA"), ("c", 10, 0, 1, "3M", "AAA")], "contig string, ref_start long, flags int, mapq int, cigar string, seq string")
     assert rows(alleles.pileup(reads), "pos", "base") == [(10, "A"), (11, "C"), (12, "G"), (13, "A"), (14, "C"), (16, "G"), (17, "T")]
+
+
+def test_modes_do_not_depend_on_the_number_of_values():
+    rng = np.random.default_rng(3)
+    for n in (9_999, 10_000, 30_000):
+        x = np.concatenate([rng.normal(0.3, 0.05, n), rng.normal(0.7, 0.05, n)])
+        got = fit.kde_modes(x)
+        assert [round(p, 1) for p, _ in got] == [0.3, 0.7] and all(abs(s - 0.5) < 0.02 for _, s in got), n
+    few = rng.normal(0.5, 0.1, 5_000)
+    assert len(fit.kde_modes(few)) == len(fit.kde_modes(np.repeat(few, 5))) == 1
