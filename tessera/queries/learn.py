@@ -72,5 +72,5 @@ def rf_train_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Random forest on labelled documents: quality by length and language, scored over all of them."""
     d = load(spark, sf_dir, "documents").select("doc_id", "n_chars", (F.size(F.split("text", "[!#$%*|]")) - 1).alias("marks"), F.size(F.split("text", " ")).alias("n_words"))
     labelled = d.join(load(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
-    model = ml.train_forest(labelled, ["n_chars", "marks", "n_words"], trees=10, depth=6)
+    model = ml.train_forest(labelled, ["n_chars", "marks", "n_words"])
     return ml.predict(model, d).select("doc_id", "prediction", F.round("s1", 6).alias("s1"))

@@ -1,8 +1,10 @@
 """Miniature cases with results worked out by hand."""
 
+import inspect
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import cigar, notation, numeric
@@ -158,3 +160,29 @@ def test_modes_do_not_depend_on_the_number_of_values():
         assert [round(p, 1) for p, _ in got] == [0.3, 0.7] and all(abs(s - 0.5) < 0.02 for _, s in got), n
     few = rng.normal(0.5, 0.1, 5_000)
     assert len(fit.kde_modes(few)) == len(fit.kde_modes(np.repeat(few, 5))) == 1
+
+
+def test_registered_queries_keep_the_operators_defaults(spark, monkeypatch):
+    from tessera.queries import cna, learn
+
+    seen = {}
+
+    def spy(f):
+        def run(*args, **named):
+            bound = inspect.signature(f).bind(*args, **named)
+            bound.apply_defaults()
+            seen.update(bound.arguments)
+            raise StopIteration
+
+        return run
+
+    events = spark.createDataFrame([(1, 1, 5, "view", 2.0)], "user_id long, event_id long, pos long, event_type string, value double")
+    docs = spark.createDataFrame([(1, 3, "a b", 1)], "doc_id long, n_chars long, text string, quality int")
+    monkeypatch.setattr(cna, "events", lambda *_: events)
+    monkeypatch.setattr(learn, "load", lambda _s, _d, name: docs.select("doc_id", "quality") if name == "labels" else docs.drop("quality"))
+    monkeypatch.setattr(segment, "segment_profiles", spy(segment.segment_profiles))
+    monkeypatch.setattr(ml, "train_forest", spy(ml.train_forest))
+    for q in (cna.cbs_segments, learn.rf_train_predict):
+        with pytest.raises(StopIteration):
+            q(spark, "")
+    assert (seen["shuffles"], seen["trees"], seen["depth"]) == (1000, 100, 20)
