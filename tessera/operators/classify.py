@@ -125,8 +125,18 @@ def change_points(segments: DataFrame, keys: list[str], start: str = "start", en
     return runs.withColumn("run_end", step).filter("run_end IS NOT NULL").select(*keys, "run_start", "run_end", "segment")
 
 
-def rescue_by_copy_number(variants: DataFrame, points: DataFrame, keys: list[str], pos: str, distance: int, support: str) -> DataFrame:
-    """For each change-point side, the variant of most support within ``distance``; one row a variant (last segment wins)."""
+def rescue_by_copy_number(variants: DataFrame, points: DataFrame, keys: list[str], pos: str, distance: int, support: str, min_support: int | None = None, normal: str | None = None, clustered_normal: str | None = None) -> DataFrame:
+    """For each change-point side, the variant of most support within ``distance``; one row a variant (last segment wins).
+
+    Where named, these bound the candidates: support of ``min_support`` or more, no support in the column ``normal``,
+    fewer than 3 reads in ``clustered_normal``. Without a normal sample the last two are not named.
+    """
+    if min_support is not None:
+        variants = variants.filter(F.col(support) >= min_support)
+    if normal is not None:
+        variants = variants.filter(F.col(normal) == 0)
+    if clustered_normal is not None:
+        variants = variants.filter(F.col(clustered_normal) < 3)
     sides = points.select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("run_start").alias("at")), F.struct(F.lit(1).alias("side"), F.col("run_end").alias("at")))).alias("s"), "segment", "run_start").select(*keys, "segment", "run_start", "s.side", F.col("s.at").alias("change"))
     near = range_join(variants, sides, keys, pos, "change", distance)
     # a variant near both ends of a run counts for its start

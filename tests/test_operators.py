@@ -186,3 +186,12 @@ def test_registered_queries_keep_the_operators_defaults(spark, monkeypatch):
         with pytest.raises(StopIteration):
             q(spark, "")
     assert (seen["shuffles"], seen["trees"], seen["depth"]) == (1000, 100, 20)
+
+
+def test_rescue_takes_eligible_variants_only(spark):
+    v = spark.createDataFrame([(1, 100, 9, 1, 0), (2, 101, 8, 0, 3), (3, 102, 2, 0, 0), (4, 103, 3, 0, 2), (5, 500, 2, 0, 0)], "variant_id long, pos long, t int, n int, cn int").withColumn("k", F.lit(1))
+    points = spark.createDataFrame([(100, 300, "s1"), (500, 700, "s2")], "run_start long, run_end long, segment string").withColumn("k", F.lit(1))
+    got = classify.rescue_by_copy_number(v, points, ["k"], "pos", 50, "t", min_support=3, normal="n", clustered_normal="cn")
+    assert rows(got, "variant_id", "segment") == [(4, "s1")]
+    got = classify.rescue_by_copy_number(v, points, ["k"], "pos", 50, "t", min_support=3)  # no normal sample
+    assert rows(got, "variant_id", "segment") == [(1, "s1")]
