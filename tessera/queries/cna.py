@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.numeric import inflation_factor, search_space
 from tessera.operators import alleles, bins, fit, segment, smooth
+from tessera.plans.params import CnaParams
 from tessera.queries.registry import EVENTS, events, load, query
 
 _CONTIGS = "g AS (SELECT s_suppkey AS contig, (1000 + s_suppkey * 37 % 5000)::BIGINT AS length FROM supplier)"
@@ -183,6 +184,13 @@ def acceptable_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("i", "j", F.round("prop_zero", 6).alias("prop_zero"), F.round("prop_whole", 6).alias("prop_whole"), "mode", "second")
 
 
+@query()
+def purity_ploidy_solutions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranked solutions over all points of the production grid."""
+    p = CnaParams()
+    return fit.fit_purity_ploidy(_segments(spark, sf_dir).withColumn("ord", F.col("start")), p.cellularity, p.ploidy)
+
+
 @query(f"""
 WITH {_CONTIGS}, s AS (SELECT contig, start, least(start + 399, length) AS "end", 0.5::DOUBLE + (start % 1000) / 500.0::DOUBLE AS r FROM (SELECT contig, length, unnest(range(1, length + 1, 400)) AS start FROM g)),
 b AS (SELECT s.contig, s.start, 0.5::DOUBLE + avg(abs(0.5::DOUBLE - l_discount * 5)) AS baf, count(*) AS n_sites FROM s JOIN lineitem ON l_suppkey = contig AND l_partkey * 2 BETWEEN start AND "end" WHERE l_linenumber = 1 GROUP BY s.contig, s.start),

@@ -195,3 +195,29 @@ def test_rescue_takes_eligible_variants_only(spark):
     assert rows(got, "variant_id", "segment") == [(4, "s1")]
     got = classify.rescue_by_copy_number(v, points, ["k"], "pos", 50, "t", min_support=3)  # no normal sample
     assert rows(got, "variant_id", "segment") == [(1, "s1")]
+
+
+def test_solutions_over_the_production_grid_match_brute_force(spark, monkeypatch):
+    from tessera.queries import cna
+
+    p, q = 0.67, 2.33  # off the coarse grid of 0.05
+    copies = [2, 2, 2, 3, 1, 2, 4, 2, 3, 2, 3]
+    rel = np.array([1 + (c - q) / (q + 2 / p - 2) for c in copies])
+    seg = spark.createDataFrame([(i, float(r), 1.0) for i, r in enumerate(rel)], "start int, relative_cn double, weight double")
+    monkeypatch.setattr(cna, "_segments", lambda *_: seg)
+    got = {(r["i"], r["j"]) for r in cna.purity_ploidy_solutions(spark, "").collect()}
+    pu, pl = np.array(numeric.search_space(0.2, 1.0, 0.01)), np.array(numeric.search_space(1.5, 5.0, 0.01))
+    assert (len(pu), len(pl)) == (81, 351)
+    cn = pl[None, :, None] + (rel - 1) * (pl[None, :, None] + 2 / pu[:, None, None] - 2)
+    d = np.sqrt(((cn - np.rint(cn)) ** 2).mean(2))
+    wide = np.pad(d, 1, constant_values=np.inf)
+    near = np.min([wide[a : a + 81, b : b + 351] for a in range(3) for b in range(3)], 0)
+    low = [(i, j) for i, j in zip(*np.nonzero(d <= near))]
+    least = min(d[c] for c in low)
+    want = set()
+    for c in low:
+        s = np.rint(cn[c]).tolist()
+        top = sorted(set(s), key=lambda x: (-s.count(x), s.index(x)))[:2]
+        if (d[c] < 1.25 * least or d[c] == least) and (cn[c] <= 0).mean() <= 0.1 and (abs(cn[c] - s) < 0.25).mean() >= 0.5 and abs(top[0] - top[-1]) <= 1:
+            want.add((int(c[0]), int(c[1])))
+    assert got == want and any(abs(pu[i] - p) < 1e-9 and abs(pl[j] - q) < 1e-9 for i, j in got)
