@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,9 +40,12 @@ def own_prefix(df: DataFrame, start: str = "_t_") -> str:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a folder of our own only where none is set, as in tests."""
+    """The shared folder of the cluster; a folder of our own only where none is set and all runs on one machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         found = "/tmp/checkpoints/tessera"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -66,13 +70,30 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def unstage(spark: SparkSession) -> int:
-    """Delete every table that :func:`stage` wrote in this process; returns their number."""
-    n = len(_STAGED)
-    while _STAGED:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+def unstage(spark: SparkSession, since: int = 0, keep: str | None = None) -> int:
+    """Delete the tables that :func:`stage` wrote in this process, from the ``since``-th on; returns their number."""
+    gone = [p for p in _STAGED[since:] if p != keep]
+    _STAGED[since:] = [keep] if keep in _STAGED[since:] else []
+    for p in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return n
+    return len(gone)
+
+
+def scoped(f):
+    """``f`` with its result staged and every table that it staged on the way deleted, also when it fails."""
+
+    @functools.wraps(f)
+    def run(df: DataFrame, *args, **kwargs) -> DataFrame:
+        since, kept = len(_STAGED), None
+        try:
+            out = stage(f(df, *args, **kwargs), f.__name__)
+            kept = _STAGED[-1]
+            return out
+        finally:
+            unstage(df.sparkSession, since, kept)
+
+    return run
 
 
 def flag_maybe_in(rows: DataFrame, key: str, ids: DataFrame, id_col: str, flag: str, bits: int = 24) -> DataFrame:
