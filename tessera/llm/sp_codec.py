@@ -40,7 +40,7 @@ SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 RANK_OFFSET = 500
 #: Characters of a stretch, of a batch of stretches, and of the longest stretch that is searched in step with others.
-STRETCH, SLICE, LONGEST = 64, 160_000, 160_000
+STRETCH, SLICE, LONGEST = 32, 160_000, 160_000
 _FIXED = 1 << 20
 _NONE = -(1 << 61)
 _END, _SIGN = 0x110000, 0x110001  # after each text; a literal U+2581
@@ -217,15 +217,15 @@ def _byte_length(code: int) -> int:
     return 3 if code == _SIGN else len(chr(code).encode()) if code != ord(" ") else 1
 
 
-def matches(v: Vocabulary, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By [longest - length, last character]: packed score and length of the piece there; by [length - 1, last]: its id; and for
-    each place before a character whether a piece spans it. Nothing matches over an end mark."""
-    n, size, bits = len(codes), v.longest, v.longest.bit_length()
+def matches(v: Vocabulary, codes: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray]:
+    """For each length the (last character, score, id) of all pieces in the text, and for each place before a character
+    whether a piece spans it. Nothing matches over an end mark. Ids of -1 are written as bytes."""
+    n = len(codes)
     letter = v.letter.take(codes)
-    score, ids = np.full((size, n), _NONE, np.int64), np.full((size, n), -1, np.int32)
-    span = np.zeros(n + 2, np.int64)
+    out = []
+    span = np.zeros(n + 1, np.int64)
     at, node = np.flatnonzero(letter), None
-    for length in range(1, size + 1):
+    for length in range(1, v.longest + 1):
         if length == 1:
             node = v.child(np.zeros(len(at), np.int32), letter[at])
         else:
@@ -239,25 +239,33 @@ def matches(v: Vocabulary, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
         got = v.node_id.take(node)
         whole = got >= 0
         last = at[whole] + (length - 1)
-        score[size - length, last] = (v.node_score.take(node[whole]) << bits) + length
-        ids[length - 1, last] = got[whole]
+        out.append((last, v.node_score.take(node[whole]), got[whole]))
         if length > 1:
-            span[: n + 1] += np.bincount(at[whole] + 1, minlength=n + 1)[: n + 1]
-            span[: n + 1] -= np.bincount(last + 1, minlength=n + 1)[: n + 1]
-    rest = np.flatnonzero((ids[0] < 0) & (codes != _END))
+            span[at[whole] + 1] += 1  # one piece of a length begins at a place, and one ends there
+            span[last + 1] -= 1
+    single = np.zeros(n, bool)
+    if out:
+        single[out[0][0]] = True
+    rest = np.flatnonzero(~single & (codes != _END))
     if len(rest):
         c = np.where(codes[rest] == _SIGN, ord(SPACE), codes[rest])
         width = 1 + (c >= 0x80).astype(np.int64) + (c >= 0x800) + (c >= 0x10000)
-        score[size - 1, rest] = ((v.floor * width) << bits) + 1
-    return score, ids, np.cumsum(span)[:n] > 0
+        more = rest, v.floor * width, np.full(len(rest), -1, np.int32)
+        out[:1] = [tuple(np.concatenate(x) for x in zip(out[0], more, strict=True)) if out else more]
+        order = np.argsort(out[0][0])
+        out[0] = tuple(x[order] for x in out[0])
+    return out, np.cumsum(span)[:n] > 0
 
 
-def advance(score: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def advance(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n_codes: int, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(last character, length) of the pieces of all stretches, in order: the streaming search over all of them in step."""
-    longest, n = score.shape[0], len(starts)
-    mask = (1 << longest.bit_length()) - 1
+    longest, n = len(found), len(starts)
+    if not n:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    bits = longest.bit_length()
+    mask = (1 << bits) - 1
     first = starts + np.arange(n)  # boundaries: one more than characters in each stretch
-    total = int(first[-1] + sizes[-1] + 1) if n else 0
+    total = int(first[-1] + sizes[-1] + 1)
     length, children, child = np.zeros(total, np.int16), np.zeros(total, np.int32), np.zeros(total, np.int64)
     done = np.zeros(total, bool)
     order = np.argsort(-sizes, kind="stable")
@@ -265,17 +273,28 @@ def advance(score: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[n
     root = zero.copy()
     ring = np.full((4 * longest, n), _NONE, np.int64)
     ring[longest - 1], k = 0, 0  # the window is ring[k : k + longest]
-    steps = int(left[0]) if n else 0
+    steps = int(left[0])
     active = np.searchsorted(-left, -np.arange(steps), side="left")  # stretches longer than each step
+    # scores with lengths, by [longest - length], laid out step by step
+    at_step = np.concatenate([[0], np.cumsum(active)])
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    place = np.full(n_codes, -1, np.int64)
+    inner = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    place[np.repeat(starts, sizes) + inner] = at_step[inner] + np.repeat(rank, sizes)
+    score = np.full((longest, int(at_step[-1])), _NONE, np.int64)
+    for i, (last, value, _) in enumerate(found):
+        to = place[last]
+        own = to >= 0
+        score[longest - 1 - i, to[own]] = (value[own] << bits) + (i + 1)
     for t in range(steps):
         a = int(active[t])
-        found = ring[k : k + longest, :a]
-        found = (found + score[:, begin[:a] + t]).max(0)
-        size = found & mask
+        best = (ring[k : k + longest, :a] + score[:, at_step[t] : at_step[t] + a]).max(0)
+        size = best & mask
         if k + longest == len(ring):
             ring[: longest - 1] = ring[k + 1 :]
             k = -1
-        ring[k + longest, :a] = found - size
+        ring[k + longest, :a] = best - size
         k += 1
         now = zero[:a] + (t + 1)
         length[now] = size
@@ -313,7 +332,7 @@ def advance(score: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[n
 
 def _flat_ids(v: Vocabulary, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """ids of all texts, each of which ends with an end mark, and for each id the character that it ends with."""
-    score, ids, spanned = matches(v, codes)
+    found, spanned = matches(v, codes)
     ends = codes == _END
     free = ~spanned & ~ends
     free[0] = not ends[0] if len(free) else False
@@ -325,14 +344,17 @@ def _flat_ids(v: Vocabulary, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     stop = np.flatnonzero(ends)
     sizes = np.minimum(np.append(cuts[1:], len(codes)), stop[np.searchsorted(stop, cuts)]) - cuts
     alone = sizes > LONGEST
-    last, length = advance(score, cuts[~alone], sizes[~alone])
+    last, length = advance(found, len(codes), cuts[~alone], sizes[~alone])
     for a, n in zip(cuts[alone], sizes[alone], strict=True):
         got = np.array(list(stream(v, codes[a : a + n])), np.int64).reshape(-1, 2)
         last, length = np.concatenate([last, a + got[:, 0] - 1]), np.concatenate([length, got[:, 1]])
     if alone.any():
         order = np.argsort(last)
         last, length = last[order], length[order]
-    out = ids[length - 1, last]
+    out = np.empty(len(last), np.int32)
+    for i, (ends_, _, ids) in enumerate(found, 1):
+        of = np.flatnonzero(length == i)
+        out[of] = ids[np.searchsorted(ends_, last[of])]
     rest = np.flatnonzero(out < 0)
     if not len(rest):
         return out, last
@@ -372,7 +394,7 @@ def encode_batch(v: Vocabulary, texts: pa.Array) -> Iterator[tuple[int, int, np.
             to = min(len(codes), at + step)
             if to < len(codes):
                 look = max(at, to - SLICE // 4)
-                safe = np.flatnonzero(~matches(v, codes[look : to + v.longest])[2][: to - look])
+                safe = np.flatnonzero(~matches(v, codes[look : to + v.longest])[1][: to - look])
                 safe = safe[safe > v.longest] + look  # pieces from before the look are not seen
                 if len(safe):
                     to = int(safe[-1])
