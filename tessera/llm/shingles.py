@@ -130,7 +130,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
     return key & U((1 << SET_BITS) - 1), begins
 
 
-def each_slice(texts: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def each_slice(texts: pa.Array, limit: int = SLICE, rows: int = 4000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     data, offsets = buffers(texts)
-    for a, b in slices(offsets, limit):
+    for a, b in slices(offsets, limit, rows):
         yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
