@@ -1,5 +1,7 @@
 import itertools
+import math
 import random
+import time
 
 from tessera.llm import html_extract as hx
 
@@ -34,6 +36,53 @@ def test_pages():
     assert hx.main_text("<article><p>a < b &lt;i&gt; &bogus; <!-- c --> <p>d</article") .startswith("a < b <i> &bogus;")
 
 
+STORY = "This is a long paragraph of the story, with many words in it, and it goes on and on to its end. " * 3
+NAMED = f"""<body><nav><ul><li><a href=x>One</a></li><li><a href=y>Two</a></li></ul></nav><div class="%s"><h1>Some title here</h1><p>{STORY}</p>
+<p>Yes.</p><p>{STORY}</p></div><footer>&copy; the site</footer></body>"""
+
+
+def test_no_name_takes_an_article_away():
+    for name in ("print", "tags", "post meta", "legal", "discussion", "page form", "side", "story share", "comments", "sidebar", "ad", ""):
+        got = hx.main_text(NAMED % name)
+        assert STORY.strip() in got and "One" not in got and "the site" not in got, name
+    assert hx.main_text(f"<body><p><a href=x>{STORY}</a></p>") == STORY.strip()
+    for tag in ("svg", "math"):
+        assert STORY.strip() in hx.main_text(f"<body><{tag}><path><p>{STORY}<p>{STORY}")
+
+
+def test_the_cut_mends_what_the_classifier_gets_wrong_alone():
+    model = hx.fit()
+    pages = [(hx.parse(html), truth) for html, truth in hx.labelled_pages(200, 4321)]  # seen by no fit
+    wrong = lambda smooth: sum(a != b for blocks, truth in pages for a, b in zip(hx.labels(blocks, hx.Model(model.weights, smooth)), truth))
+    alone, cut, n = wrong(0.0), wrong(model.smooth), sum(len(t) for _, t in pages)
+    assert model.smooth > 0 and cut < alone and cut < 0.06 * n
+
+
+def test_labels_are_the_cheapest_labelling():
+    """The whole result against all labellings, costs and edges written out again."""
+    model = hx.fit()
+    for html, _ in hx.labelled_pages(400, 77):
+        blocks = hx.parse(html)
+        if len(blocks) > 11:
+            continue
+        odds = [sum(w * x for w, x in zip(model.weights, f)) for f in hx.features(blocks)]
+        edges = [(i - 1, i, int(1000 * model.smooth / blocks[i].apart)) for i in range(1, len(blocks))]
+        for i in range(len(blocks)):
+            same = [j for j in range(i) if blocks[j].node is blocks[i].node]
+            if same and same[-1] < i - 1:
+                edges.append((same[-1], i, int(1000 * model.smooth / 2)))
+        cost = lambda x: int(1000 * math.log1p(math.exp(x)))
+        price = lambda s: sum(cost(-o) if k else cost(o) for o, k in zip(odds, s)) + sum(c for i, j, c in edges if s[i] != s[j])  # noqa: B023, E731
+        assert price(hx.labels(blocks, model)) == min(map(price, itertools.product([True, False], repeat=len(blocks))))
+
+
+def test_hostile_pages_take_linear_time():
+    for f in ("<div>" * 8000 + "x", "<span>" * 20_000 + "hello there", "<div>t " * 8000, "<ul>" + "<div>" * 5000 + "<li>a b" * 5000):
+        began = time.process_time()
+        hx.main_text(f)
+        assert time.process_time() - began < 5
+
+
 def test_minimum_cut_matches_all_labellings():
     rng = random.Random(3)
     for _ in range(60):
