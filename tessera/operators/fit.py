@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,14 +40,39 @@ def grid(spark: SparkSession, purities: list[float], ploidies: list[float]) -> D
 def grid_distances(segments: DataFrame, points: DataFrame, squared: bool = True) -> DataFrame:
     """``points`` with the weighted distance of the segments' absolute copy numbers from whole numbers.
 
-    Every segment meets every point, and distances are summed on the map side. The points, bounded by the
-    grid's parameters, are broadcast.
+    Each task adds up its segments at all points (bounded by the grid's parameters) as array operations and hands on one
+    row a point; these sums meet by (i, j). Nothing the size of segments times points is ever made.
     """
-    cn = absolute_copy_number(F.col("relative_cn"), F.col("purity"), F.col("ploidy"))
-    d = F.abs(cn - F.rint(cn))
-    both = segments.select("relative_cn", "weight").crossJoin(F.broadcast(points))
-    value = F.sqrt(F.sum(d * d * F.col("weight")) / F.sum("weight")) if squared else F.sum(d * F.col("weight")) / F.sum("weight")
-    return both.groupBy(*points.columns).agg(value.alias("distance"))
+    rows = points.select("i", "j", "purity", "ploidy").collect()  # the grid itself
+    shared = segments.sparkSession.sparkContext.broadcast(np.array([tuple(r) for r in rows], float).reshape(-1, 4))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = shared.value
+        purity, ploidy = at[:, 2], at[:, 3]
+        slope = np.where(purity > 0, ploidy + 2 / np.where(purity > 0, purity, 1) - 2, ploidy)
+        origin = np.where(purity > 0, ploidy, 0.0)
+        shift = np.where(purity > 0, 1.0, 0.0)
+        far, total, any_ = np.zeros(len(at)), 0.0, False
+        for batch in batches:
+            r, w = (np.asarray(c.to_numpy(zero_copy_only=False), float) for c in batch.columns)
+            ok = ~(np.isnan(r) | np.isnan(w))
+            r, w = r[ok], w[ok]
+            any_ |= len(r) > 0
+            total += w.sum()
+            for a in range(0, len(at), 2048):
+                s = slice(a, a + 2048)
+                for b in range(0, len(r), 64):  # pieces that stay in cache
+                    cn = origin[s] + (r[b : b + 64, None] - shift[s]) * slope[s]
+                    d = np.abs(cn - np.rint(cn))
+                    far[s] += w[b : b + 64] @ (d * d if squared else d)
+        if any_:
+            n = len(at)
+            yield pa.RecordBatch.from_arrays([pa.array(at[:, 0].astype(np.int32)), pa.array(at[:, 1].astype(np.int32)), pa.array(far), pa.array(np.full(n, total))], ["i", "j", "_far", "_all"])
+
+    part = segments.select(F.col("relative_cn").cast("double"), F.col("weight").cast("double")).mapInArrow(run, "i int, j int, _far double, _all double")
+    share = F.sum("_far") / F.sum("_all")
+    sums = part.groupBy("i", "j").agg((F.sqrt(share) if squared else share).alias("distance"))
+    return points.join(sums, ["i", "j"])
 
 
 def local_minima(fits: DataFrame) -> DataFrame:

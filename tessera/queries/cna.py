@@ -43,12 +43,12 @@ def fixed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {_TILES},
-y AS (SELECT l_suppkey AS contig, l_partkey * 2 AS s, l_partkey * 2 + l_quantity::BIGINT AS e FROM lineitem WHERE l_returnflag = 'A'),
+y AS (SELECT l_suppkey AS contig, l_partkey * 2 AS s, l_partkey * 2 + l_quantity::BIGINT AS e FROM lineitem),
 o AS (SELECT t.contig, start, "end", sum(least("end", e) - greatest(start, s) + 1) AS n FROM t JOIN y ON t.contig = y.contig AND s <= "end" AND start <= e GROUP BY ALL)
 SELECT t.contig, t.start, t."end", 100.0::DOUBLE * coalesce(n, 0) / (t."end" - t.start + 1) AS overlap FROM t LEFT JOIN o ON o.contig = t.contig AND o.start = t.start AND o."end" = t."end"
 """)
 def overlap_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    y = load(spark, sf_dir, "lineitem").filter("l_returnflag = 'A'").select(F.col("l_suppkey").alias("contig"), (F.col("l_partkey") * 2).alias("start"), (F.col("l_partkey") * 2 + F.col("l_quantity").cast("long")).alias("end"))
+    y = load(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("contig"), (F.col("l_partkey") * 2).alias("start"), (F.col("l_partkey") * 2 + F.col("l_quantity").cast("long")).alias("end"))
     return bins.overlap_percent(_tiles(spark, sf_dir), y, ["contig"], 500)
 
 
@@ -136,7 +136,8 @@ def sv_split_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.groupBy("user_id", "split_id").agg(F.count(F.lit(1)).alias("n_bins"), F.round(F.median("seg_log2r"), 6).alias("seg_log2r"))
 
 
-_PURITY, _PLOIDY = (0.2, 1.0, 0.05), (1.5, 5.0, 0.05)
+#: The production grid: 81 x 351 points.
+_PURITY, _PLOIDY = CnaParams().cellularity, CnaParams().ploidy
 _GRID = f"""{_SEGMENTS},
 pu AS (SELECT unnest({search_space(*_PURITY)}::DOUBLE[]) AS purity, unnest(range({len(search_space(*_PURITY))}))::INTEGER AS i),
 pl AS (SELECT unnest({search_space(*_PLOIDY)}::DOUBLE[]) AS ploidy, unnest(range({len(search_space(*_PLOIDY))}))::INTEGER AS j),
@@ -154,7 +155,9 @@ def grid_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _MINIMA = f"""{_GRID},
-m AS (SELECT a.* FROM d a WHERE NOT EXISTS (SELECT 1 FROM d b WHERE abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 AND b.distance < a.distance))"""
+r AS (SELECT *, min(distance) OVER (PARTITION BY j ORDER BY i RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS r FROM d),
+n AS (SELECT *, min(r) OVER (PARTITION BY i ORDER BY j RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS least FROM r),
+m AS (SELECT i, j, purity, ploidy, distance FROM n WHERE distance <= least)"""
 
 
 @query(f"WITH {_MINIMA} SELECT i, j, round(distance, 9) AS distance FROM m")
@@ -171,15 +174,15 @@ def rank_solutions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_GRID}, c AS (SELECT * FROM d WHERE i % 4 = 0 AND j % 10 = 0),
+WITH {_MINIMA}, c AS (SELECT i, j FROM m WHERE distance < (SELECT min(distance) * 1.25 FROM m)),
 x AS (SELECT f.*, round_even(f.cn, 0) + 0.0::DOUBLE AS state FROM f JOIN c USING (i, j)),
 p AS (SELECT i, j, sum(CASE WHEN cn <= 0 THEN weight ELSE 0 END) / sum(weight) AS prop_zero, sum(CASE WHEN round(abs(cn - state), 9) < 0.25 THEN weight ELSE 0 END) / sum(weight) AS prop_whole FROM x GROUP BY i, j),
-n AS (SELECT i, j, state, row_number() OVER (PARTITION BY i, j ORDER BY count(*) DESC, min(start)) AS k FROM x GROUP BY i, j, state),
-o AS (SELECT i, j, max(CASE WHEN k = 1 THEN state END) AS mode, max(CASE WHEN k = 2 THEN state END) AS second FROM n GROUP BY i, j)
+t AS (SELECT i, j, state, row_number() OVER (PARTITION BY i, j ORDER BY count(*) DESC, min(start)) AS k FROM x GROUP BY i, j, state),
+o AS (SELECT i, j, max(CASE WHEN k = 1 THEN state END) AS mode, max(CASE WHEN k = 2 THEN state END) AS second FROM t GROUP BY i, j)
 SELECT i, j, round(prop_zero, 6) AS prop_zero, round(prop_whole, 6) AS prop_whole, mode, second FROM p JOIN o USING (i, j) WHERE prop_zero <= 0.9 AND prop_whole >= 0.4 AND (second IS NULL OR abs(mode - second) <= 1)
 """)
 def acceptable_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fits = _fits(spark, sf_dir).filter("i % 4 = 0 AND j % 10 = 0")
+    fits = fit.within_scale(fit.local_minima(_fits(spark, sf_dir)))
     out = fit.acceptable(_segments(spark, sf_dir).withColumn("ord", F.col("start")), fits, 0.9, 0.4)
     return out.select("i", "j", F.round("prop_zero", 6).alias("prop_zero"), F.round("prop_whole", 6).alias("prop_whole"), "mode", "second")
 
@@ -193,13 +196,13 @@ def purity_ploidy_solutions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {_CONTIGS}, s AS (SELECT contig, start, least(start + 399, length) AS "end", 0.5::DOUBLE + (start % 1000) / 500.0::DOUBLE AS r FROM (SELECT contig, length, unnest(range(1, length + 1, 400)) AS start FROM g)),
-b AS (SELECT s.contig, s.start, 0.5::DOUBLE + avg(abs(0.5::DOUBLE - l_discount * 5)) AS baf, count(*) AS n_sites FROM s JOIN lineitem ON l_suppkey = contig AND l_partkey * 2 BETWEEN start AND "end" WHERE l_linenumber = 1 GROUP BY s.contig, s.start),
+b AS (SELECT s.contig, s.start, 0.5::DOUBLE + avg(abs(0.5::DOUBLE - l_discount * 5)) AS baf, count(*) AS n_sites FROM s JOIN lineitem ON l_suppkey = contig AND l_partkey * 2 BETWEEN start AND "end" GROUP BY s.contig, s.start),
 c AS (SELECT s.contig, s.start, coalesce(n_sites, 0) AS n_sites, baf, r, (0.8::DOUBLE - 1 + r * (1 - baf) * (2 * (1 - 0.8::DOUBLE) + 0.8::DOUBLE * 2.1::DOUBLE)) / 0.8::DOUBLE AS a, (0.8::DOUBLE - 1 + r * baf * (2 * (1 - 0.8::DOUBLE) + 0.8::DOUBLE * 2.1::DOUBLE)) / 0.8::DOUBLE AS z, 2.1::DOUBLE + (r - 1) * (2.1::DOUBLE + 2 / 0.8::DOUBLE - 2) AS t FROM s LEFT JOIN b ON b.contig = s.contig AND b.start = s.start)
 SELECT contig, start, n_sites, round(baf, 6) AS mean_baf, round_even(CASE WHEN baf IS NOT NULL THEN greatest(a, 0.0::DOUBLE) END, 4) AS minor_cn, CASE WHEN baf IS NULL THEN round_even(greatest(t, 0.0::DOUBLE), 4) ELSE round_even(round_even(greatest(a, 0.0::DOUBLE), 4) + round_even(greatest(z, 0.0::DOUBLE), 4), 4) END AS copy_number FROM c
 """)
 def baf_minor_major_cn(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = bins.windows(_contigs(spark, sf_dir), 400).select("contig", "start", (F.col("end") - 1).alias("end"), (F.lit(0.5) + (F.col("start") % 1000) / F.lit(500.0)).alias("relative_cn"))
-    snps = load(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.col("l_suppkey").alias("contig"), (F.col("l_partkey") * 2).alias("pos"), (F.col("l_discount") * 5).alias("af_0"))
+    snps = load(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("contig"), (F.col("l_partkey") * 2).alias("pos"), (F.col("l_discount") * 5).alias("af_0"))
     baf = fit.segment_baf(fit.snps_in_segments(snps, s, ["contig"], 400), ["contig", "start"])
     out = fit.absolute_segments(s.join(baf, ["contig", "start"], "left"), 0.8, 2.1)
     return out.select("contig", "start", F.coalesce("n_sites", F.lit(0)).alias("n_sites"), F.round("mean_baf", 6).alias("mean_baf"), "minor_cn", "copy_number")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import classify, ml
 from tessera.queries.registry import load, query
 
-_SCORES = "s AS (SELECT (l_orderkey * 8 + l_linenumber)::BIGINT AS row_id, l_discount * 10 AS s0, 1 - l_discount * 10 AS s1 FROM lineitem WHERE l_returnflag = 'R'), c AS (SELECT (l_linestatus = 'O')::INTEGER AS class, l_tax * 12.5 AS score FROM lineitem WHERE l_returnflag = 'N')"
+_SCORES = "s AS (SELECT (l_orderkey * 8 + l_linenumber)::BIGINT AS row_id, l_discount * 10 AS s0, 1 - l_discount * 10 AS s1 FROM lineitem), c AS (SELECT (l_linestatus = 'O')::INTEGER AS class, l_tax * 12.5 AS score FROM lineitem)"
 
 
 @query(f"""
@@ -18,8 +18,8 @@ SELECT s.row_id, round(p0, 9) AS p0, round(p1, 9) AS p1, CASE WHEN p0 > 1 - 0.7
 """)
 def mondrian_pvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = load(spark, sf_dir, "lineitem")
-    s = li.filter("l_returnflag = 'R'").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_id"), (F.col("l_discount") * 10).alias("s0"), (1 - F.col("l_discount") * 10).alias("s1"))
-    c = li.filter("l_returnflag = 'N'").select((F.col("l_linestatus") == "O").cast("int").alias("class"), (F.col("l_tax") * 12.5).alias("score"))
+    s = li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_id"), (F.col("l_discount") * 10).alias("s0"), (1 - F.col("l_discount") * 10).alias("s1"))
+    c = li.select((F.col("l_linestatus") == "O").cast("int").alias("class"), (F.col("l_tax") * 12.5).alias("score"))
     return classify.mondrian_classes(s, c, 0.7).select("row_id", F.round("p0", 9).alias("p0"), F.round("p1", 9).alias("p1"), "class")
 
 

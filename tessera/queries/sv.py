@@ -43,14 +43,14 @@ def gap_cluster_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH r AS (SELECT l_suppkey, l_orderkey, l_linenumber, CASE WHEN l_tax > 0 THEN l_quantity END AS len FROM lineitem WHERE l_returnflag = 'R'),
+WITH r AS (SELECT l_suppkey, l_orderkey, l_linenumber, CASE WHEN l_tax > 0 THEN l_quantity END AS len FROM lineitem),
 b AS (SELECT *, lag(len) OVER (PARTITION BY l_suppkey ORDER BY (len IS NULL), len, l_orderkey, l_linenumber) AS p FROM r),
 n AS (SELECT *, CASE WHEN len IS NOT NULL AND (p IS NULL OR len > ceil(p * 1.25::DOUBLE)) THEN 1 ELSE 0 END AS new FROM b),
 g AS (SELECT *, greatest(1, sum(new) OVER (PARTITION BY l_suppkey ORDER BY (len IS NULL), len, l_orderkey, l_linenumber))::BIGINT AS length_group FROM n)
 SELECT l_suppkey, length_group, count(*) AS n_rows, count(len) AS n_lengths, min(len) AS shortest, max(len) AS longest FROM g GROUP BY l_suppkey, length_group
 """)
 def insert_length_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = load(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select("l_suppkey", "l_orderkey", "l_linenumber", F.when(F.col("l_tax") > 0, F.col("l_quantity")).alias("len"))
+    r = load(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", F.when(F.col("l_tax") > 0, F.col("l_quantity")).alias("len"))
     g = clustering.length_chains(r, ["l_suppkey"], "len", ["l_orderkey", "l_linenumber"])
     return g.groupBy("l_suppkey", "length_group").agg(F.count(F.lit(1)).alias("n_rows"), F.count("len").alias("n_lengths"), F.min("len").alias("shortest"), F.max("len").alias("longest"))
 
@@ -201,12 +201,13 @@ def min_max_params_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as variant edges: lines 1 and 2 of an order are mates."""
-    li, edge = load(spark, sf_dir, "lineitem").filter("l_linenumber <= 2"), F.col("l_linenumber").cast("string")
+    """Order lines as variant edges: lines 1 and 2, 3 and 4, ... of an order are mates; an odd last one has none."""
+    li, n = load(spark, sf_dir, "lineitem"), F.col("l_linenumber")
+    edge = n.cast("string")
     key = F.col("l_orderkey").cast("string")
     q, d = F.col("l_quantity"), F.col("l_discount")
     return li.select(
-        F.concat(key, F.lit("_"), edge).alias("ID"), F.concat(key, F.lit("_"), F.when(edge == "1", "2").otherwise("1")).alias("MATEID"),
+        F.concat(key, F.lit("_"), edge).alias("ID"), F.concat(key, F.lit("_"), (n - 1 + n % 2 * 2).cast("string")).alias("MATEID"),
         (F.col("l_orderkey") % 25).alias("TUMOUR_READ_SUPPORT"), (F.col("l_orderkey") % 3).alias("NORMAL_READ_SUPPORT"),
         (q % 10).alias("ORIGIN_STARTS_STD_DEV"), (q % 7).alias("END_STARTS_STD_DEV"), (q + 20).alias("ORIGIN_MAPQ_MEAN"), (q + 25).alias("END_MAPQ_MEAN"),
         (q * 1.5).alias("ORIGIN_EVENT_SIZE_STD_DEV"), (q * 1.2).alias("END_EVENT_SIZE_STD_DEV"), (q * 60).alias("END_EVENT_SIZE_MEDIAN"),
@@ -214,9 +215,9 @@ def _variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_VARIANTS = """v AS (SELECT l_orderkey || '_' || l_linenumber AS "ID", l_orderkey || '_' || (3 - l_linenumber) AS mateid, l_orderkey % 25 AS t, l_orderkey % 3 AS n, l_quantity % 10 AS osd, l_quantity % 7 AS esd,
+_VARIANTS = """v AS (SELECT l_orderkey || '_' || l_linenumber AS "ID", l_orderkey || '_' || (l_linenumber - 1 + l_linenumber % 2 * 2) AS mateid, l_orderkey % 25 AS t, l_orderkey % 3 AS n, l_quantity % 10 AS osd, l_quantity % 7 AS esd,
   l_quantity + 20 AS omq, l_quantity + 25 AS emq, l_quantity * 1.5::DOUBLE AS oss, l_quantity * 1.2::DOUBLE AS ess, l_quantity * 60 AS emed, l_discount * 5 AS taf, l_tax * 5 AS naf, l_partkey % 6 AS cn,
-  (l_partkey % 4 - 1)::INTEGER AS pred, l_suppkey % 11 = 0 AS amplified FROM lineitem WHERE l_linenumber <= 2)"""
+  (l_partkey % 4 - 1)::INTEGER AS pred, l_suppkey % 11 = 0 AS amplified FROM lineitem)"""
 
 
 @query(f"""
@@ -274,15 +275,17 @@ def changepoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {_POINTS},
-x AS (SELECT user_id, event_id AS variant_id, pos, floor(value)::BIGINT AS support FROM e WHERE event_type = 'error' AND event_id % 3 <> 0),
+x AS (SELECT user_id, event_id AS variant_id, pos, floor(value)::BIGINT AS support FROM e WHERE floor(value) >= 7 AND event_id % 4 = 0 AND event_id % 5 < 3),
 n AS (SELECT x.*, cp.segment, cp.run_start FROM x JOIN cp ON x.user_id = cp.user_id AND (abs(pos - run_start) <= {6 * HOUR} OR abs(pos - run_end) <= {6 * HOUR})),
 t AS (SELECT *, row_number() OVER (PARTITION BY user_id, segment ORDER BY support DESC, variant_id) AS k FROM n),
 l AS (SELECT *, row_number() OVER (PARTITION BY variant_id ORDER BY run_start DESC) AS j FROM t WHERE k = 1)
 SELECT variant_id, user_id, segment, support FROM l WHERE j = 1
 """)
 def cna_rescue_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = events(spark, sf_dir).filter("event_type = 'error' AND event_id % 3 <> 0").select("user_id", F.col("event_id").alias("variant_id"), "pos", F.floor("value").alias("support"))
-    return classify.rescue_by_copy_number(x, _points(spark, sf_dir), ["user_id"], "pos", 6 * HOUR, "support").select("variant_id", "user_id", "segment", "support")
+    i = F.col("event_id")
+    x = events(spark, sf_dir).select("user_id", i.alias("variant_id"), "pos", F.floor("value").alias("support"), (i % 4).alias("normal"), (i % 5).alias("clustered"))  # all events; the operator says which are eligible
+    got = classify.rescue_by_copy_number(x, _points(spark, sf_dir), ["user_id"], "pos", 6 * HOUR, "support", 7, "normal", "clustered")
+    return got.select("variant_id", "user_id", "segment", "support")
 
 
 @query("""
