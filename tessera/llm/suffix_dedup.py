@@ -3,16 +3,17 @@
 A passage is repeated where ``length`` words or more, equal as words, occur elsewhere: in a document of a
 smaller id, or earlier in the same one. Words are runs of bytes other than white space, in their own case.
 
-1. Suffixes are retained only at minimiser positions: of the ``k``-word prefixes that begin in a window, the one of
-   the least hash. The window is as wide as makes every passage of ``length`` words select one, by its words
-   alone, so equal passages retain suffixes at equal places: about one word in 20.
-2. Suffixes meet by the first ``k`` words: those equal to no neighbour in that order are alone in the corpus, and
-   most end here. Spark's shuffle orders them by hash, and neighbours of one prefix are counted, with partial
-   counts on the map side; a sorted run of one very common prefix would be a single task's.
-3. Those that have equals are extended left and right: each stretch of ``length`` words that selects the suffix, from
-   that furthest to the left to that furthest to the right, is compared by a 64-bit hash of its words. Comparing
-   each suffix with its two neighbours in a sorted order alone would miss passages whose left part agrees
-   with a suffix further off; comparing stretches loses none.
+1. Suffixes are retained only at minimiser positions: of the ``k``-word prefixes that begin in a window of ``window`` words, the one of
+   the least hash. Every passage of ``length`` words selects one in its first ``window`` words, by its words
+   alone, so equal passages retain suffixes at equal places, with ``length - window + 1`` words or more to the right: about one word in 13.
+2. Suffixes whose first ``length - window + 1`` words (by a 64-bit hash, counted with partial counts on the map side) occur once in the corpus end here.
+3. The others are sorted, in ranges over all partitions, by the words that follow, and once more by the words that precede them, read backwards.
+   Each is compared with its neighbours in both orders, over partition edges too: the longest common prefixes tell how far any
+   match of it can extend to the right and to the left. Suffixes that cannot extend to ``length`` words end here. Ranges are cut by
+   (words, id, place), so that copies of one common passage spread over many tasks.
+4. What is repeated, and where it first occurs, needs more than neighbours: a passage may have its left part from one suffix and its right part
+   from another, and the first document need not be next to it in either order. So each stretch of ``length`` words within the extent of a suffix is
+   compared by a 64-bit hash of its words with those of all others.
 
 Documents whose word sequences are equal are first reduced to the smallest id; the others repeat it as a whole.
 Null, empty and short texts (below ``length`` words) hold no passage. Rows of one id are one document: they do not
@@ -29,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import shingles as sh
-from tessera.llm.common import flag_maybe_in, maybe_in, own_prefix, stage
+from tessera.llm.common import flag_maybe_in, maybe_in, own_prefix, spread, stage
 from tessera.session import ship
 
 U = np.uint64
-LENGTH, PREFIX = 50, 8
+LENGTH, PREFIX, WINDOW = 50, 8, 25
 SPANS = "array<struct<start: bigint, end: bigint, first: array<bigint>>>"
 _SALT = U(0x9E3779B97F4A7C15)
 _R = int(np.random.default_rng(11).integers(1 << 62, 1 << 63, dtype=np.uint64)) | 1
@@ -66,17 +67,22 @@ def stretch_hashes(h: np.ndarray, length: int) -> np.ndarray:
     return sh.mix((run[length:] - run[:n]) * down[:n]) if n > 0 else np.empty(0, U)
 
 
+def _window(length: int, k: int) -> int:
+    return max(1, min(WINDOW, length - k + 1))
+
+
 def _selected(h: np.ndarray, rows: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of all stretches within a row, the place each selects, and the prefix hash at every place."""
+    """Starts of all stretches within a row, the place each selects, and at every place a hash of the words that all who select it share."""
     if len(h) < length:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, U)
     key = np.zeros(len(h) - k + 1, U)
     for j in range(k):
         key += h[j : j + len(key)] * sh._COEF[j]
     key = sh.mix(key + _SALT)
-    at = minimisers(key, length - k + 1)
-    starts = np.flatnonzero(rows[: len(at)] == rows[length - 1 :][: len(at)])
-    return starts, at[starts], key
+    window = _window(length, k)
+    at = minimisers(key, window)
+    starts = np.flatnonzero(rows[: len(h) - length + 1] == rows[length - 1 :])
+    return starts, at[starts], stretch_hashes(h, length - window + 1)
 
 
 def _samples(docs: DataFrame, length: int, k: int, id_col: str, text_col: str) -> DataFrame:
@@ -104,8 +110,10 @@ def _samples(docs: DataFrame, length: int, k: int, id_col: str, text_col: str) -
     return rows.mapInArrow(run, "id long, n long, f1 long, f2 long, keys array<long>")
 
 
-def _stretches(texts: DataFrame, length: int, k: int) -> DataFrame:
-    """id, start, hash, again: stretches around the suffixes whose prefix is among the row's ``keys``."""
+def _suffixes(texts: DataFrame, length: int, k: int) -> DataFrame:
+    """id, pos, key, right, left: the retained suffixes whose key is among the row's ``keys``, with what follows and what precedes their shared words
+    (four bytes of a word's hash each, none beyond the text)."""
+    width = _window(length, k) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,23 +121,116 @@ def _stretches(texts: DataFrame, length: int, k: int) -> DataFrame:
             values, bounds = wanted.values.to_numpy(zero_copy_only=False), wanted.offsets.to_numpy()
             for a, b, data, offsets in sh.each_slice(batch.column(1)):
                 h, rows, *_ = sh.word_hashes(data, offsets, lower=False)
-                starts, at, key = _selected(h, rows, length, k)
+                _, at, key = _selected(h, rows, length, k)
+                at = np.unique(at)
+                own = np.repeat(np.arange(b - a), np.diff(bounds[a : b + 1]))
+                known = set(zip(own.tolist(), values[bounds[a] : bounds[b]].tolist(), strict=True))
+                at = at[np.array([(r, x) in known for r, x in zip(rows[at].tolist(), key[at].view(np.int64).tolist(), strict=True)], bool)] if len(at) else at
+                if not len(at):
+                    continue
+                short = (h >> U(32)).astype(np.uint32) | np.uint32(1)  # 0 stands for no word
+                of = rows[at]
+
+                def words(places: np.ndarray, short=short, rows=rows, of=of) -> pa.Array:
+                    inside = (places >= 0) & (places < len(short))
+                    x = np.where(inside, short[np.where(inside, places, 0)], 0)
+                    x[rows[np.where(inside, places, 0)] != of[:, None]] = 0
+                    return pa.array([r.tobytes() for r in np.ascontiguousarray(x.astype(">u4"))], pa.binary())
+
+                right = words(at[:, None] + (length - width) + np.arange(width)[None])
+                left = words(at[:, None] - 1 - np.arange(width)[None])
+                first = np.searchsorted(rows, np.arange(b - a))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(a + of)), pa.array((at - first[of]).astype(np.int32)), pa.array(key[at].view(np.int64)), right, left], ["id", "pos", "key", "right", "left"])
+
+    return texts.mapInArrow(run, "id long, pos int, key long, right binary, left binary")
+
+
+def common_words(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many words rows have in common from the first on; 0 is no word."""
+    return np.cumprod((x == y) & (x != 0), axis=1).sum(1)
+
+
+def neighbour_extents(suffixes: DataFrame, side: str, name: str) -> DataFrame:
+    """id, pos, ``name``: the most words that a suffix has in common, on one side of the shared ones, with a neighbour in the order of that side.
+
+    Partitions are ranges of that order. Their first and last rows, two a partition, meet on the driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        held = None
+        names = ["kind", "part", "key", "words", "id", "pos", "best"]
+
+        def rows(kind: int, b: pa.RecordBatch, best: np.ndarray) -> pa.RecordBatch:
+            n = len(b)
+            words = b.column(1) if kind else pa.nulls(n, pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, part, np.int32)), b.column(0), words, b.column(2), b.column(3), pa.array(best.astype(np.int32))], names)
+
+        zero = np.zeros(1, np.int64)
+        for batch in batches:
+            if not len(batch):
+                continue
+            batch = batch.select(["key", side, "id", "pos"])
+            if held is None:
+                yield rows(1, batch.slice(0, 1), zero)
+            else:
+                batch = pa.Table.from_batches([held[0], batch]).combine_chunks().to_batches()[0]
+            x = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u4").reshape(len(batch), -1)
+            key = np.asarray(batch.column(0))
+            same = common_words(x[1:], x[:-1]) * (key[1:] == key[:-1])
+            best = np.maximum(np.append(same, 0), np.insert(same, 0, held[1] if held else 0))
+            yield rows(0, batch.slice(0, len(batch) - 1), best[:-1])
+            held = batch.slice(len(batch) - 1), best[-1]
+        if held is not None:
+            yield rows(0, held[0], np.array([held[1]]))
+            yield rows(2, held[0], zero)
+
+    spark = suffixes.sparkSession
+    order = ["key", side, "id", "pos"]
+    got = suffixes.select(*order).repartitionByRange(spread(spark), *order).sortWithinPartitions(*order)
+    got = stage(got.mapInArrow(run, "kind int, part int, key long, words binary, id long, pos int, best int"), f"sa-{name}")
+    edges = sorted(((r["part"], r["kind"], r["key"], bytes(r["words"]), r["id"], r["pos"]) for r in got.filter("kind > 0").collect()), key=lambda r: r[:2])
+    more: list[tuple[int, int, int]] = []
+    for a, b in zip(edges, edges[1:], strict=False):
+        if a[0] != b[0] and a[2] == b[2]:
+            n = int(common_words(*(np.frombuffer(x[3], ">u4")[None] for x in (a, b)))[0])
+            more += [(*x[4:], n) for x in (a, b)]
+    out = got.filter("kind = 0").select("id", "pos", "best")
+    if more:
+        out = out.unionByName(spark.createDataFrame(more, "id long, pos int, best int"))
+    return out.groupBy("id", "pos").agg(F.max("best").alias(name))
+
+
+def _stretches(texts: DataFrame, length: int, k: int) -> DataFrame:
+    """id, start, hash, again: the stretches within the extents (from, to) of the row's suffixes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, wanted = batch.column(0), batch.column(2)
+            begins, ends = (np.asarray(wanted.values.field(n)) for n in ("from", "to"))
+            bounds = wanted.offsets.to_numpy()
+            for a, b, data, offsets in sh.each_slice(batch.column(1)):
+                h, rows, *_ = sh.word_hashes(data, offsets, lower=False)
                 hashes = stretch_hashes(h, length)
-                count = np.bincount(rows, minlength=b - a)
-                first = np.concatenate([[0], np.cumsum(count)])
-                bounds_of = np.searchsorted(starts, first)
+                first = np.searchsorted(rows, np.arange(b - a + 1))
                 for r in range(b - a):
-                    s = slice(bounds_of[r], bounds_of[r + 1])
-                    own = values[bounds[a + r] : bounds[a + r + 1]].view(np.uint64)
-                    hit = np.isin(key[at[s]], own)
-                    if not hit.any():
+                    own = slice(bounds[a + r], bounds[a + r + 1])
+                    size = first[r + 1] - first[r]
+                    mark = np.zeros(size + 2, np.int64)
+                    lo, hi = begins[own].astype(np.int64), np.minimum(ends[own].astype(np.int64), size) - length + 1
+                    able = hi > lo
+                    np.add.at(mark, lo[able], 1)
+                    np.add.at(mark, hi[able], -1)
+                    where = np.flatnonzero(np.cumsum(mark)[: max(0, size - length + 1)] > 0)
+                    if not len(where):
                         continue
-                    where = starts[s][hit]
-                    x = hashes[where]
+                    x = hashes[first[r] + where]
                     _, index = np.unique(x, return_index=True)
                     again = np.ones(len(x), bool)
                     again[index] = False
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), ids[a + r].as_py()), pa.int64()), pa.array((where - first[r]).astype(np.int32)), pa.array(x.view(np.int64)), pa.array(again)], ["id", "start", "hash", "again"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), ids[a + r].as_py()), pa.int64()), pa.array(where.astype(np.int32)), pa.array(x.view(np.int64)), pa.array(again)], ["id", "start", "hash", "again"])
 
     return texts.mapInArrow(run, "id long, start int, hash long, again boolean")
 
@@ -165,14 +266,18 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = PREFIX, id_co
     equal = stage(equal.filter("rep < most").drop("most"), "sa-equal")
     copies = stage(long_.join(equal, ["f1", "f2", "n"]).filter("id > rep").select("id", "n", "rep").distinct(), "sa-copies")
 
-    # retained suffixes whose prefix has equals
+    # retained suffixes whose first words have equals
     suffixes = long_.select("id", "keys").join(copies.select("id").distinct(), "id", "left_anti").select("id", F.explode("keys").alias("key"))
     found = stage(suffixes.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"), "sa-prefixes")
     own = stage(suffixes.join(found, "key").distinct().groupBy("id").agg(F.collect_list("key").alias("keys")), "sa-own")
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    texts = maybe_in(texts, "id", own, "id").join(own, "id")
-    stretches = stage(_stretches(texts, length, k), "sa-stretches")
+    sorted_ = stage(_suffixes(maybe_in(texts, "id", own, "id").join(own, "id"), length, k), "sa-suffixes")
+    shared = length - _window(length, k) + 1
+    reach = neighbour_extents(sorted_, "right", "r").join(neighbour_extents(sorted_, "left", "l"), ["id", "pos"]).filter(F.col("l") + F.col("r") + shared >= length)
+    extent = F.struct((F.col("pos") - F.col("l")).alias("from"), (F.col("pos") + shared + F.col("r")).alias("to"))
+    own = stage(reach.groupBy("id").agg(F.collect_list(extent).alias("extents")), "sa-extents")
+    stretches = stage(_stretches(maybe_in(texts, "id", own, "id").join(own, "id"), length, k), "sa-stretches")
     twice = stretches.groupBy("hash").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("first")).filter("c > 1").drop("c")
     gone = stretches.join(stage(twice, "sa-twice"), "hash").filter("again OR id > first").select("id", "start", "first")
     spans = gone.groupBy("id").agg(F.collect_list(F.struct("start", "first")).alias("hits")).mapInArrow(_merged(length), f"id long, spans {SPANS}")
