@@ -12,13 +12,16 @@ no rows. Only the two named columns are read.
 2. Documents of equal sets are one class; its smallest id stands for it from here on.
 3. In a bucket (documents that share a band) all are compared with one hub, never with each other: a
    number of pairs linear in the rows. The sketch discards pairs estimated far below the threshold
-   (by over 5 standard deviations), the rest are confirmed on full sets.
+   (by over 7 standard deviations), the rest are confirmed on full sets.
    Joins are merge joins at every size: which side is small depends on the data.
 4. Links are contracted to components. Buckets that still hold several components are looked at again:
    shingles that no other document there has bound each possible intersection from above, which settles most.
-   What remains meets the least edited member as a second hub, and last the members of other
-   components that pass the same bounds and that of a parity bitmap of the whole set, whose XOR never counts
-   more than the members that differ. So no link between different sets is lost to hubs.
+   What remains meets the least edited member as a second hub, and last, by an exact prefix join, those members of other
+   components with which it shares one of its rarest shingles: of two sets similar enough, some of the rarest
+   of either are common, so templates that all share put nobody together. Pairs pass the same bounds and that of a parity bitmap of the whole set, whose
+   XOR never counts more than the members that differ. So no link between different sets is lost to hubs, and no group is compared in pairs.
+
+A hub's set meets pairs in the last join, so that it is never copied into a shuffle. Shingles are told apart by 52 bits of hash.
 
 A pair of similarity 0.8 shares no band with probability (1 - 0.8^4)^32 < 1e-7.
 """
@@ -189,7 +192,7 @@ def _estimate(x: Column, y: Column) -> Column:
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+    """The pairs (a, b) whose full sets are similar enough. ``b``, the hub of many, is joined last."""
     x, y = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
     both = pairs.select("a", "b").join(x.hint("merge"), "a").join(y.hint("merge"), "b")
     shared = F.size(F.array_intersect("x", "y"))
@@ -197,14 +200,39 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _screen(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that sizes and sketches allow, once each."""
+    """Pairs (a, b) that sizes and sketches allow, once each; ``b`` is the hub."""
     slim = reps.select("rep", "n", "sketch").dropDuplicates(["rep"])
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = pairs.select("a", "b").distinct()
     both = pairs.join(slim.toDF("a", "na", "sa").hint("merge"), "a").join(slim.toDF("b", "nb", "sb").hint("merge"), "b")
     sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
     return both.filter(sizes & (_estimate(F.col("sa"), F.col("sb")) >= LEAST_ESTIMATE)).select("a", "b")
 
 
+def _prefix_pairs(left: DataFrame, sets: DataFrame, percent: int, able) -> DataFrame:
+    """Pairs (a, b) of members of other components that may be similar enough: a prefix join over their rarest shingles.
+
+    The larger set of a pair asks with as many as could miss in a similar set, the smaller answers with those that a set of at least its size must meet.
+    """
+    token = sets.join(left.select(F.col("rep").alias("id")), "id").select("id", F.explode("set").alias("token"))
+    often = token.groupBy("token").agg(F.count(F.lit(1)).alias("often"))
+    rarest = token.join(often, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("t"))
+    rows = stage(left.join(rarest.withColumnRenamed("id", "rep"), "rep"), "nd-rarest")
+    both = 100 + percent
+    probe, index = F.expr(f"cast(n - ((n * {percent} + 99) div 100) + 1 AS int)"), F.expr(f"cast(n - ((n * {2 * percent} + {both - 1}) div {both}) + 1 AS int)")
+
+    def side(i: str, many: Column) -> DataFrame:
+        few = F.filter(F.slice("t", F.lit(1), many), lambda x: x["often"] > 1)
+        return rows.select(F.col("rep").alias(i), F.col("root").alias("r" + i), F.col("n").alias("n" + i), F.explode(few).alias("x")).withColumn("token", F.col("x.token")).drop("x")
+
+    x, y = side("a", index), side("b", probe)
+    meet = (F.col("ra") != F.col("rb")) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))) & (100 * F.col("na") >= percent * F.col("nb"))
+    pairs = x.join(y, "token").filter(meet).select("a", "b").distinct()
+    known = rows.select("rep", "n", "c", "parity")
+    pairs = pairs.join(known.toDF("a", "na", "ca", "pa"), "a").join(known.toDF("b", "nb", "cb", "pb"), "b")
+    differ = F.aggregate(F.zip_with("pa", "pb", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, v: s + v)
+    return pairs.filter(able(F.col("ca"), F.col("na"), F.col("cb"), F.col("nb")) & (both * differ <= (100 - percent) * (F.col("na") + F.col("nb")))).select("a", "b")
+
+
 def near_dup_links(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows, roots): every row with its class, and the component of every class that is linked."""
     f = stage(features(docs, k, id_col, text_col), "nd-features")
@@ -256,12 +284,8 @@ def near_dup_links(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
         roots = components(found)
         part = stage(unresolved(rest, roots), "nd-part")
     if not part.isEmpty():
-        side = lambda i: part.select("bucket", *[F.col(c).alias(c[0] + i) for c in ("n", "c", "root", "parity")], F.col("rep").alias(i))
-        x, y = side("a"), side("b")
-        differ = F.aggregate(F.zip_with("pa", "pb", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v)
-        on = (x["bucket"] == y["bucket"]) & (F.col("ra") < F.col("rb")) & able(F.col("ca"), F.col("na"), F.col("cb"), F.col("nb"))
-        on = on & ((100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb")))
-        last = stage(x.join(y, on).select("a", "b").distinct(), "nd-pairs")
+        left = stage(part.select("rep", "root", "n", "c", "parity").dropDuplicates(["rep"]), "nd-left")
+        last = stage(_prefix_pairs(left, sets, percent, able), "nd-pairs")
         if not last.isEmpty():
             found = found.unionByName(stage(_confirm(last, sets, percent), "nd-edges"))
             roots = components(found)

@@ -6,7 +6,7 @@ without a payload. Null HTML is an empty payload, a null URL an empty target, a
 record name (it never serves as what others refer to). Rows that repeat an id are written as often.
 An empty table gives an archive without records. Only the three named columns are read.
 
-Reading. Splits are cut at ``CRLF CRLF WARC/1.1 CRLF``, so that each task meets candidate records, and
+Reading. Splits are cut at ``CRLF CRLF WARC/1.``, so that each task meets candidate records, and
 each candidate names its successor by its Content-Length. Offsets in the file are the sums of what came
 before. Only candidates that the chain from offset 0 reaches are records: magic in a payload is not.
 Pieces whose candidates follow one another directly form a run, a node of the chain; pointer jumping over
@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import stage
 
 CRLF = "\r\n"
-MAGIC = "WARC/1.1\r\n"
+#: What every version's first line begins with; then ``0`` or ``1``.
+MAGIC = "WARC/1."
+VERSION = "1\r\n"
 END = "\r\n\r\n"
 CUT = END + MAGIC
 NAME = "urn:tessera:page:"
@@ -45,13 +47,15 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     firsts = first_of_equals(pages, id_col, html_col, min_bytes)
     rows = pages.select(F.col(id_col).alias("_id"), F.coalesce(F.col(url_col), F.lit("")).alias("_url"), F.coalesce(F.col(html_col), F.lit("")).alias("_html"))
     rows = rows.withColumns({"_bytes": _b(F.col("_html")), "_digest": F.sha2(F.col("_html").cast("binary"), 256)})
-    rows = rows.withColumn("_key", F.when(F.col("_bytes") >= min_bytes, F.col("_digest"))).join(firsts.withColumnRenamed("_digest", "_key"), "_key", "left")
+    # small payloads have no key and take no part in the join
+    large = rows.filter(F.col("_bytes") >= min_bytes).join(firsts, "_digest", "left")
+    rows = large.unionByName(rows.filter(F.col("_bytes") < min_bytes).withColumn("_first", F.lit(None).cast(rows.schema["_id"].dataType)))
     revisit = F.coalesce(~F.col("_id").eqNullSafe(F.col("_first")) & F.col("_first").isNotNull(), F.lit(False))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("_bytes").cast("string"), F.lit(END))
     block = F.concat(http, F.when(revisit, F.lit("")).otherwise(F.col("_html")))
     name = lambda c: F.concat(F.lit(f"<{NAME}"), F.coalesce(c.cast("string"), F.lit("")), F.lit(f">{CRLF}"))
     record = F.concat(
-        F.lit(f"{MAGIC}WARC-Type: "), F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")),
+        F.lit(f"{MAGIC}{VERSION}WARC-Type: "), F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")),
         F.lit(f"{CRLF}WARC-Record-ID: "), name(F.col("_id")), F.lit(f"WARC-Date: 1970-01-01T00:00:00Z{CRLF}WARC-Target-URI: "), F.regexp_replace("_url", r"[\x00-\x20\x7f]", "%20"),
         F.lit(f"{CRLF}WARC-Payload-Digest: sha256:"), F.col("_digest"), F.lit(CRLF),
         F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), name(F.col("_first")), F.lit(f"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{CRLF}"))).otherwise(F.lit("")),
@@ -78,7 +82,8 @@ def _parsed(pieces: DataFrame) -> DataFrame:
     opens = F.col("value").startswith(MAGIC)
     v = F.when(opens, F.expr(f"substr(value, {len(MAGIC) + 1})")).otherwise(F.col("value"))
     out = pieces.withColumns({"lead": F.when(opens, F.lit(len(MAGIC))).otherwise(0).cast("long"), "size": _b(F.col("value")), "v": v})
-    out = out.withColumn("head", F.when(F.instr("v", END) > 0, F.substring_index("v", END, 1)))
+    known = F.col("v").rlike(r"\A[01]\r\n")  # the rest of the first line
+    out = out.withColumn("head", F.when(known, F.substring_index("v", END, 1)))  # a payload that begins with the magic leaves a head alone
     out = out.withColumn("length", _field(F.col("head"), "Content-Length").try_cast("bigint"))
     out = out.withColumns({"h": _b(F.col("head")) + len(END), "n": _b(F.col("v"))})
     out = out.withColumn("body", F.when((F.col("length") >= 0) & (F.col("n") >= F.col("h") + F.col("length")), F.expr("substring(cast(v AS binary), cast(h + 1 AS int), cast(length AS int))").cast("string")))

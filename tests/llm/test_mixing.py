@@ -45,3 +45,25 @@ def test_given_weights_large_rates_and_empty_tables(spark):
     assert "copy" in got.columns and "m_copy" in got.columns
     assert {r[0] for r in mixing.mix_sources(df, {"small": 1.0}, prefix="m_").select("source").distinct().collect()} == {"small"}
     assert mixing.mix_sources(df.limit(0), prefix="m_").count() == 0
+
+
+def test_tables_of_large_rates_are_short_and_right(spark):
+    import math
+
+    from tessera.llm import mixing as m
+
+    rates = spark.createDataFrame([("a", 0.0), ("b", 0.3), ("c", 25.0), ("d", 1e5)], "_source string, _rate double")
+    got = {r["_source"]: r for r in m.poisson_tables(rates).collect()}
+    assert got["a"]["_cdf"] == [1.0] and got["b"]["_low"] == 0
+    for s, rate in (("b", 0.3), ("c", 25.0), ("d", 1e5)):
+        total, low = 0.0, got[s]["_low"]
+        for j, c in enumerate(got[s]["_cdf"]):
+            total += math.exp((low + j) * math.log(rate) - rate - math.lgamma(low + j + 1))
+            assert math.isclose(c, total, rel_tol=1e-6, abs_tol=1e-12)
+    assert len(got["d"]["_cdf"]) < 30 * math.sqrt(1e5)
+
+
+def test_long_texts_are_replicated_whole(spark):
+    df = spark.createDataFrame([(i, "word " * (200_000 if i == 1 else 3), "s") for i in range(4)], "doc_id long, text string, source string")
+    out = mixing.mix_sources(df, {"s": 1.0}, budget=3.0).collect()
+    assert {len(r["text"]) for r in out} <= {1_000_000, 15}

@@ -56,3 +56,15 @@ def test_payload_comes_back(spark, tmp_path):
 
 def test_empty_table(spark, tmp_path):
     assert warc.round_trip(spark.createDataFrame([], SCHEMA), str(tmp_path / "w")).count() == 0
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_other_version_and_compressed_files_are_read(spark, tmp_path, packed):
+    import gzip
+
+    one = lambda v, i, body: f"WARC/1.{v}\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:tessera:page:{i}>\r\nContent-Length: {len(body)}\r\n\r\n{body}\r\n\r\n".encode()
+    parts = [one(0, 1, "first"), one(1, 2, "WARC/1.0 \r\n\r\nWARC/1.7 in it"), one(0, 3, "")]
+    path = tmp_path / ("a.warc.gz" if packed else "a.warc")
+    path.write_bytes(b"".join(gzip.compress(p) for p in parts) if packed else b"".join(parts))
+    got = warc.read_archives(spark, str(path), with_payload=True).collect()
+    assert sorted((r["record_id"], r["payload"]) for r in got) == [("<urn:tessera:page:1>", "first"), ("<urn:tessera:page:2>", "WARC/1.0 \r\n\r\nWARC/1.7 in it"), ("<urn:tessera:page:3>", "")]
