@@ -30,6 +30,7 @@ def main(argv: list[str] | None = None) -> None:
             p.add_argument("--normal", required=True)
         p.add_argument("--ref_index", required=True)
         p.add_argument("--contigs")
+        p.add_argument("--ref", help="FASTA, for the reference's letters")
         p.add_argument("--outdir", required=True)
         for f in ("length", "mapq", "buffer", "insertion_buffer", "end_buffer", "min_support"):
             p.add_argument(f"--{f}", type=int, default=getattr(d, f))
@@ -43,6 +44,8 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--min_support", type=int, default=7)
     p.add_argument("--min_af", type=share, default=0.1)
     p.add_argument("--pb", action="store_true")
+    p.add_argument("--legacy", action="store_true")
+    p.add_argument("--confidence", type=share)
     p = sub.add_parser("evaluate", help="compare variants with a truth set")
     p.add_argument("--input", required=True)
     p.add_argument("--truth", required=True)
@@ -62,9 +65,9 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("tessera").getOrCreate()
     if a.command in ("run", "to"):
         names = ("length", "mapq", "buffer", "insertion_buffer", "end_buffer", "min_support", "single_bnd", "keep_inv_artefact")
-        workflows.run(spark, a.tumour, getattr(a, "normal", None), a.ref_index, a.outdir, a.contigs, CallParams(**{n: getattr(a, n) for n in names}))
+        workflows.run(spark, a.tumour, getattr(a, "normal", None), a.ref_index, a.outdir, a.contigs, CallParams(**{n: getattr(a, n) for n in names}), a.ref)
     elif a.command == "classify":
-        workflows.classify_vcf(spark, a.vcf, a.output, a.custom_params, a.custom_model, a.min_support, a.min_af, a.pb)
+        workflows.classify_vcf(spark, a.vcf, a.output, a.custom_params, a.custom_model, a.min_support, a.min_af, a.pb, a.legacy, a.confidence)
     elif a.command == "evaluate":
         workflows.evaluate_vcf(spark, a.input, a.truth, a.overlap_buffer, a.qual_filter).show()
     elif a.command == "train":

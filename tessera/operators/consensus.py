@@ -65,7 +65,7 @@ def call_breakpoints(df: DataFrame, min_support: int = 3, end_buffer: int = 50,
     Insert-like rows chain by length; where at least two alignments spell an insertion it is one, else single
     breakends by notation. Other rows are clustered again by their end and split by notation.
     """
-    from tessera.operators.clustering import flip_recluster, keep_clusters, length_chains
+    from tessera.operators.clustering import cluster_stats, flip_recluster, keep_clusters, length_chains
 
     key = ["start_chr", "cluster_id", "end_chr"]
     big = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(f"_n >= {int(min_support)}").drop("_n")
@@ -92,6 +92,9 @@ def call_breakpoints(df: DataFrame, min_support: int = 3, end_buffer: int = 50,
     rows = rows.join(support, by, "left_semi")
     called = consensus(rows, by).join(label_counts(rows, by, hp=None), by)
     called = called.join(rows.groupBy(*by).agg(F.max("clustered_tumour").alias("clustered_reads_tumour"), F.max("clustered_normal").alias("clustered_reads_normal")), by)
+    # spread of the rows used, and of all that share the end cluster, whatever their notation
+    sized = rows.withColumn("event_size", event_size(F.col("notation"), F.col("insert_length"), F.col("start_chr"), F.col("start"), F.col("end_chr"), F.col("end")))
+    called = called.join(cluster_stats(sized, by, prefix="origin_").drop("origin_n_rows"), by).join(cluster_stats(sized, [*key, "sub"], "end", prefix="end_").drop("end_n_rows"), [*key, "sub"])
     called = called.withColumn("end", F.when(F.col("notation").isin(INS, *SINGLE), F.col("start")).otherwise(F.col("end")))
     called = called.withColumn("sv_length", sv_length(F.col("notation"), F.col("start_chr"), F.col("end_chr"), F.col("start"), F.col("end"), F.col("mean_insert")))
     called = called.filter(long_enough(F.col("sv_length"), F.col("start_chr"), F.col("end_chr"), min_length) | F.col("notation").isin(*SINGLE))

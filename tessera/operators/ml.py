@@ -24,7 +24,9 @@ def format_features(v: DataFrame, pairs: tuple[str, ...] = ("TUMOUR_AF", "NORMAL
     c = F.col
     out = v
     for name in pairs:
-        if name in v.columns:
+        if name in v.columns and not dict(v.dtypes)[name].startswith("array"):  # one value: that of the edge itself
+            out = out.withColumns({f"{name}_0": F.coalesce(c(name).cast("double"), F.lit(0.0)), f"{name}_1": F.coalesce(c(name).cast("double"), F.lit(0.0))}).drop(name)
+        elif name in v.columns:
             first = F.coalesce(F.try_element_at(c(name), F.lit(1)), F.lit(0.0))
             out = out.withColumns({f"{name}_0": first, f"{name}_1": F.coalesce(F.try_element_at(c(name), F.lit(2)), first)}).drop(name)
     for name in triples:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import cigar
 from tessera.operators import clustering, consensus, coverage
 from tessera.plans.params import CallParams
+from tessera.session import checkpointed
 
 UNMAPPED, REVERSE, SECONDARY, SUPPLEMENTARY = 0x4, 0x10, 0x100, 0x800
 COLUMNS = ("start_chr", "start", "end_chr", "end", "notation", "insert_length", "insert_seq", "source", "read_name", "mapq", "label", "hp", "ps", "spans_cluster")
@@ -17,6 +18,10 @@ def _flag(bit: int) -> Column:
     return F.col("flags").bitwiseAND(F.lit(bit)) != 0
 
 
+#: Positions of a chromosome that one task clusters.
+CLUSTER_BLOCK = 1 << 20
+
+
 def mapped_reads(alignments: DataFrame) -> DataFrame:
     """Reads that are mapped and not secondary; haplotypes and phase sets hold for primary alignments."""
     good = alignments.filter(~_flag(SECONDARY) & ~_flag(UNMAPPED))
@@ -96,18 +101,18 @@ def potential_breakpoints(alignments: DataFrame, contigs: DataFrame, p: CallPara
 def call(alignments: DataFrame, contigs: DataFrame, p: CallParams | None = None) -> DataFrame:
     """Numbered consensus breakpoints with support, depth and allele fractions of both edges."""
     p = p or CallParams()
-    points = potential_breakpoints(alignments, contigs, p)
+    points = checkpointed(potential_breakpoints(alignments, contigs, p))  # reads are parsed once
     buffer = F.when(F.col("notation") == "<INS>", p.insertion_buffer).otherwise(p.buffer)
     reach = F.when(F.col("spans_cluster"), F.col("end")).otherwise(F.col("start"))
-    c = clustering.gap_cluster(points, ["start_chr"], "start", reach, buffer, ["notation", "read_name", "end"])
+    c = clustering.gap_cluster_blocks(points.withColumn("_reach", reach), ["start_chr"], "start", "_reach", buffer, ["notation", "read_name", "end"], CLUSTER_BLOCK).drop("_reach")
     c = clustering.keep_clusters(c, ["start_chr", "cluster_id"], min(p.min_support, p.min_reads_per_cluster))
-    called = consensus.call_breakpoints(c, p.min_support, p.end_buffer, p.length)
+    called = checkpointed(consensus.call_breakpoints(checkpointed(c), p.min_support, p.end_buffer, p.length))
     reads = mapped_reads(alignments).select("label", "contig", "ref_start", "ref_end")
-    depth = coverage.coverage(reads, ["label", "contig"], "ref_start", "ref_end", p.coverage_binsize)
+    depth = checkpointed(coverage.coverage(reads, ["label", "contig"], "ref_start", "ref_end", p.coverage_binsize))
     for label in ("tumour", "normal"):
         own = depth.filter(F.col("label") == label).drop("label")
         for edge in ("start", "end"):
             at = coverage.depth_at(called, own.withColumnRenamed("contig", f"{edge}_chr"), [f"{edge}_chr"], edge, p.coverage_binsize)
-            called = at.withColumns({f"{label}_dp_{edge}": F.col("dp_at"), f"{label}_af_{edge}": coverage.allele_fraction(F.col(f"{label}_alns"), F.col("dp_at"))}).drop("dp_before", "dp_at", "dp_after")
+            called = at.withColumns({f"{label}_dp_{edge}": F.col("dp_at"), f"{label}_af_{edge}": coverage.allele_fraction(F.col(f"{label}_alns"), F.col("dp_at")), f"{label}_dp_before_{edge}": F.col("dp_before"), f"{label}_dp_after_{edge}": F.col("dp_after")}).drop("dp_before", "dp_at", "dp_after")
     order = Window.orderBy("ord", "start", "end_chr", "end", "notation")  # one row a call: thousands
     return called.join(F.broadcast(contigs.select(F.col("contig").alias("start_chr"), "ord")), "start_chr").withColumn("number", F.row_number().over(order) - 1).drop("ord")

@@ -14,14 +14,15 @@ INFO = (
     ("NORMAL_ALN_SUPPORT", "1", "Integer", "Normal alignments in support"), ("TUMOUR_ALN_SUPPORT", "1", "Integer", "Tumour alignments in support"),
     ("SVLEN", "1", "Integer", "Length"), ("BP_NOTATION", "1", "String", "Orientation of both edges"), ("SOURCE", "1", "String", "Where breakpoints were seen"),
     ("CLUSTERED_READS_TUMOUR", "1", "Integer", "Tumour alignments in the cluster"), ("CLUSTERED_READS_NORMAL", "1", "Integer", "Normal alignments in the cluster"),
-    ("TUMOUR_DP_AT", "1", "Integer", "Tumour depth at the edge"), ("NORMAL_DP_AT", "1", "Integer", "Normal depth at the edge"),
+    *[(f"{x.upper()}_DP_{w}", "1", "Integer", f"{x} depth {how} the edge") for x in ("Tumour", "Normal") for w, how in (("BEFORE", "before"), ("AT", "at"), ("AFTER", "after"))],
+    *[(f"{e}_{n}", "1", "Float", f"{d} of breakpoints at the {e.lower()}") for e in ("ORIGIN", "END") for n, d in (("STARTS_STD_DEV", "Spread of positions"), ("MAPQ_MEAN", "Mean mapping quality"), ("EVENT_SIZE_STD_DEV", "Spread of sizes"), ("EVENT_SIZE_MEDIAN", "Median size"), ("EVENT_SIZE_MEAN", "Mean size"))],
     ("TUMOUR_AF", "1", "Float", "Tumour allele fraction at the edge"), ("NORMAL_AF", "1", "Float", "Normal allele fraction at the edge"),
 )
 
 
 def vcf_header(contigs: list[tuple[str, int]], fields: tuple = INFO, source: str = "tessera") -> list[str]:
     lines = ["##fileformat=VCFv4.2", f"##source={source}"]
-    lines += [f"##contig=<ID={c},length={n}>" for c, n in contigs]
+    lines += [f"##contig=<ID={c},length={n}>" if n else f"##contig=<ID={c}>" for c, n in contigs]
     lines += ["##ALT=<ID=INS,Description=\"Insertion\">", "##FILTER=<ID=PASS,Description=\"All filters passed\">"]
     lines += [f'##INFO=<ID={n},Number={k},Type={t},Description="{d}">' for n, k, t, d in fields]
     return [*lines, '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">', "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tSAMPLE"]
@@ -43,6 +44,8 @@ def vcf_edges(calls: DataFrame) -> DataFrame:
         F.when(first, c("start_base")).otherwise(c("end_base")).alias("REF"), c("_e.alt").alias("ALT"), kind.alias("SVTYPE"), F.when(c("_two"), F.concat(name, F.lit("_"), F.when(first, "2").otherwise("1"))).alias("MATEID"),
         *[F.coalesce(c(a), F.lit(0)).cast("long").alias(b) for a, b in (("normal_reads", "NORMAL_READ_SUPPORT"), ("tumour_reads", "TUMOUR_READ_SUPPORT"), ("normal_alns", "NORMAL_ALN_SUPPORT"), ("tumour_alns", "TUMOUR_ALN_SUPPORT"), ("sv_length", "SVLEN"), ("clustered_reads_tumour", "CLUSTERED_READS_TUMOUR"), ("clustered_reads_normal", "CLUSTERED_READS_NORMAL"))],
         c("notation").alias("BP_NOTATION"), c("source").alias("SOURCE"),
+        *[F.when(first, c(f"{x}_{a}start")).otherwise(c(f"{x}_{a}end")).alias(f"{x.upper()}_{b}") for x in ("tumour", "normal") for a, b in (("dp_before_", "DP_BEFORE"), ("dp_", "DP_AT"), ("dp_after_", "DP_AFTER"), ("af_", "AF")) if f"{x}_{a}start" in calls.columns],
+        *[c(n).alias(n.upper()) for e in ("origin", "end") for n in (f"{e}_starts_std_dev", f"{e}_mapq_mean", f"{e}_event_size_std_dev", f"{e}_event_size_median", f"{e}_event_size_mean") if n in calls.columns],
     )
 
 

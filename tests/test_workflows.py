@@ -71,3 +71,34 @@ def test_counts_to_absolute_copy_numbers(spark):
     ranked, out = copy_number.absolute(seg, p)
     cn = [r["copy_number"] for r in out.orderBy("start").collect()]
     assert ranked.count() >= 1 and cn[1] > cn[0] and abs(cn[0] - cn[2]) < 0.3
+
+
+def test_run_then_classify(spark, tmp_path):
+    """The VCF that calling writes goes through rules and parameters, with the reference's letters and written results."""
+    import json
+
+    from tessera.plans import workflows
+
+    sam(tmp_path / "t.sam")
+    (tmp_path / "n.sam").write_text("\n".join(x for x in (tmp_path / "t.sam").read_text().split("\n") if x.startswith("@") or x.startswith("d0")) + "\n")
+    (tmp_path / "x.fai").write_text("chr1\t20000\t6\t60\t61\nchr2\t20000\t9\t60\t61\n")
+    (tmp_path / "x.fa").write_text("".join(f">{c}\n" + "\n".join(["ACGT" * 15] * 334) + "\n" for c in ("chr1", "chr2")))
+    out = str(tmp_path / "run")
+    workflows.run(spark, str(tmp_path / "t.sam"), str(tmp_path / "n.sam"), str(tmp_path / "x.fai"), out, ref=str(tmp_path / "x.fa"))
+    vcf = f"{out}/sv_breakpoints.vcf"
+    v = {r["ID"]: r for r in readers.read_vcf(spark, vcf).collect()}
+    assert all(r["REF"] == "ACGT"[(r["POS"] - 1) % 4] for r in v.values())
+    junction = next(r for r in v.values() if r["POS"] == 1970)
+    assert junction["ALT"] == f"{junction['REF']}[chr2:5000[" and junction["ORIGIN_MAPQ_MEAN"] == 60.0 and junction["END_STARTS_STD_DEV"] == 0.0 and junction["TUMOUR_DP_BEFORE"] == 5
+    lines = lambda p: [r[0] for r in spark.read.text(str(p)).collect() if not r[0].startswith("#")]
+
+    got = workflows.classify_vcf(spark, vcf, str(tmp_path / "rule"), min_support=3).collect()
+    somatic = {r["ID"] for r in got if r["CLASS"] == "SOMATIC"}
+    assert len(got) == 5 and len(lines(tmp_path / "rule.classified.vcf")) == 5
+    assert {x.split("\t")[2] for x in lines(tmp_path / "rule.somatic.vcf")} == somatic and len(somatic) == 3
+    assert all("CLASS=SOMATIC" in x and x.split("\t")[6] == "PASS" for x in lines(tmp_path / "rule.somatic.vcf"))
+    assert len(lines(tmp_path / "rule.somatic.bedpe")) == 2
+    assert {r["CLASS"] for r in workflows.classify_vcf(spark, vcf, str(tmp_path / "pb"), min_support=3, pb=True).collect()} == {"SOMATIC", "FAIL"}
+    (tmp_path / "p.json").write_text(json.dumps({"somatic": {"MAX_NORMAL_READ_SUPPORT": 0, "MIN_TUMOUR_READ_SUPPORT": 3}, "germline": {"MIN_NORMAL_READ_SUPPORT": 1}}))
+    workflows.classify_vcf(spark, vcf, str(tmp_path / "params"), params=str(tmp_path / "p.json"))
+    assert len(lines(tmp_path / "params.passed_somatic.vcf")) == 3 and len(lines(tmp_path / "params.passed_germline.vcf")) == len(lines(tmp_path / "params.germline.vcf")) == 2
