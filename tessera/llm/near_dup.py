@@ -198,9 +198,11 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
-def _screen(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that sizes and sketches allow, once each; ``b`` is the hub."""
-    slim = reps.select("rep", "n", "sketch").dropDuplicates(["rep"])
+def _screen(pairs: DataFrame, slim: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that sizes and sketches allow, once each; ``b`` is the hub.
+
+    ``slim`` is a written table, so that nothing but exchange and sort lies below the joins: the pairs of a hot hub can be split.
+    """
     pairs = pairs.select("a", "b").distinct()
     both = pairs.join(slim.toDF("a", "na", "sa").hint("merge"), "a").join(slim.toDF("b", "nb", "sb").hint("merge"), "b")
     sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
@@ -219,7 +221,8 @@ def near_dup_links(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     band = reps.select("rep", F.explode("bands").alias("bucket"))
     hubs = stage(band.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("most")).filter("hub < most").drop("most"), "nd-hubs")
     members = stage(band.join(hubs.hint("merge"), "bucket"), "nd-members")
-    pairs = _screen(members.filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")), reps, percent)
+    slim = stage(reps.select("rep", "n", "sketch").dropDuplicates(["rep"]), "nd-slim")
+    pairs = _screen(members.filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")), slim, percent)
     pairs = stage(pairs, "nd-pairs")
     sets = stage(full_sets(docs, members.select(F.col("rep").alias("id")), k, id_col, text_col), "nd-sets")
     twice = stage(rows.filter("n > 0 AND id IS NOT NULL").groupBy("id").agg(F.min("rep").alias("b"), F.max("rep").alias("most")).filter("b < most").drop("most"), "nd-twice")
@@ -253,7 +256,7 @@ def near_dup_links(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     if not part.isEmpty():
         best = stage(part.groupBy("bucket").agg(F.max_by(F.struct("rep", "n", "c", "root"), F.col("c") / F.col("n")).alias("h")), "nd-best")
         star = part.drop("parity").join(best, "bucket").filter((F.col("root") != F.col("h.root")) & able(F.col("c"), F.col("n"), F.col("h.c"), F.col("h.n")))
-        star = stage(_screen(star.select(F.col("rep").alias("a"), F.col("h.rep").alias("b")), reps, percent), "nd-pairs")
+        star = stage(_screen(star.select(F.col("rep").alias("a"), F.col("h.rep").alias("b")), slim, percent), "nd-pairs")
         found = found.unionByName(stage(_confirm(star, sets, percent), "nd-edges"))
         roots = components(found)
         part = stage(unresolved(rest, roots), "nd-part")
