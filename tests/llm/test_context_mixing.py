@@ -168,3 +168,45 @@ def test_what_is_gathered_grows_with_the_texts(spark):
         got = cm._answered(cm._asked(df, 4), code).collect()
         sizes.append(sum(len(zlib.decompress(r["data"])) for r in got))
     assert sizes[1] > 7 * sizes[0]
+
+
+def test_weights_are_learned_from_all_training_texts(spark, monkeypatch):
+    """The parts that come first hold noise, the others phrases: weights from some parts or bytes would not suit the whole."""
+    rng = random.Random(5)
+    noise = [(i, "".join(rng.choice("abcd") for _ in range(300))) for i in range(400)]
+    phrases = [(i, " ".join(rng.choice(["the inner one", "on other terms", "in the end"]) for _ in range(25))) for i in range(400)]
+    both = spark.createDataFrame(noise + phrases, "doc_id long, text string").selectExpr("doc_id", "text", "pmod(xxhash64(cast(doc_id AS string), text), 8) AS p").collect()
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    part_of = {(r["doc_id"], r["text"]): r["p"] for r in both}
+    data = [d for d in noise if part_of[d] < 4][:60] + [d for d in phrases if part_of[d] >= 4][:150]
+    seen, real = [], cm._learned
+    monkeypatch.setattr(cm, "_learned", lambda *a: seen.append(real(*a)) or seen[-1])
+    assert cm.score_documents(spark.createDataFrame(data, "doc_id long, text string")).count() == len(data)
+
+    train = [(part_of[d], d[1].encode() + bytes([END])) for d in data if not held(d[0])]
+    code = trained([text[:-1] for _, text in train])
+    steps, counts = [], Counter()
+    for p, text in train:
+        before = bytes([END] * 5) + text
+        for k in range(len(text)):
+            at = int(code.tree[before[k + 4] << 8 | before[k + 3]]) * 256 + text[k]
+            n = int(code.length[at])
+            context, path = before[k : k + 5][::-1], format(int(code.path[at]) >> (cm.CODE - n), f"0{n}b")
+            for o in cm.ORDERS:
+                for d in range(n + 1):
+                    counts[o, context[:o], path[:d]] += 1
+                    counts[o, context[:o], path[:d], p] += 1
+            steps += [(p, context, path, d, int(code.begin[at]) + d) for d in range(n)]
+    nodes, branches = (np.array([[counts[o, c[:o], x[: d + e]] - counts[o, c[:o], x[: d + e], p] for o in cm.ORDERS] for p, c, x, d, _ in steps]) for e in (0, 1))
+    odds, grades = cm.graded(nodes, branches)
+    y = np.column_stack([code.odds[[a for *_, a in steps]], odds]) - 128.0
+    gate = grades[:, -2].astype(int) * 8 + grades[:, -1]
+    cost = lambda w: np.log1p(np.exp(-(w[gate] * y).sum(1))).sum()
+    best = cm.Weights().mix[:4].T.astype(float)
+    for _ in range(20):  # Newton's method on all bits, one by one
+        q = 1 / (1 + np.exp((best[gate] * y).sum(1)))
+        for g in set(gate.tolist()):
+            m = gate == g
+            best[g] += np.linalg.solve((y[m].T * (q * (1 - q))[m]) @ y[m] + 1000 * np.eye(4), y[m].T @ q[m] - 1000 * (best[g] - cm.Weights().mix[:4, g]))
+    first, got, least = cost(cm.Weights().mix[:4].T.astype(float)), cost(seen[0].mix[:4].T.astype(float)), cost(best)
+    assert got - least < 0.2 * (first - least), (first, got, least)
