@@ -210,3 +210,24 @@ def test_weights_are_learned_from_all_training_texts(spark, monkeypatch):
             best[g] += np.linalg.solve((y[m].T * (q * (1 - q))[m]) @ y[m] + 1000 * np.eye(4), y[m].T @ q[m] - 1000 * (best[g] - cm.Weights().mix[:4, g]))
     first, got, least = cost(cm.Weights().mix[:4].T.astype(float)), cost(seen[0].mix[:4].T.astype(float)), cost(best)
     assert got - least < 0.2 * (first - least), (first, got, least)
+
+
+def test_every_gram_is_found_in_its_place_and_no_other():
+    rng = random.Random(7)
+    texts = [bytes(rng.choice(b"abcde \xc3") for _ in range(n)) for n in (0, 1, 2, 3, 5, 4000, 0, 7)]
+    x, off = cm.with_ends(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    for order in (2, 5):
+        plain = [int.from_bytes((bytes([END] * 5) + t)[k : k + 6][::-1][: order + 1], "big") for t in (t + bytes([END]) for t in texts) for k in range(len(t))]
+        assert cm.grams(x, off, order).tolist() == plain
+    g = cm.grams(x, off)
+    keys, code = cm.distinct_grams(g.copy())[0], trained(texts)
+    halves = [keys[::2], keys[1::2]]  # of two buckets
+    found = cm.Predictions([(k, None) for k in halves], code)
+    sizes = [int(n) for k in halves for n in code.length[code.of(k, cm.LONGEST)]]
+    begin = dict(zip(np.concatenate(halves).tolist(), np.cumsum([0, *sizes]).tolist()))
+    assert found.steps(g).tolist() == [begin[k] for k in g.tolist()] and len(found.words) == sum(sizes)
+    try:
+        found.steps(np.array([int(keys.max()) + 1], np.uint64))
+    except RuntimeError:
+        return
+    raise AssertionError("a gram of no answer was found")
