@@ -14,6 +14,11 @@ def rounded(x: Column, digits: int) -> Column:
     return F.bround(x, digits)
 
 
+def log2(x: Column) -> Column:
+    """Logarithm as floating-point arithmetic has it: -Infinity of 0 and NaN below, where Spark's own gives null."""
+    return F.when(x == 0, F.lit(float("-inf"))).when(x < 0, F.lit(float("nan"))).otherwise(F.log2(x))
+
+
 def anscombe(x: Column) -> Column:
     """Variance-stabilised relative copy number of a log2 ratio."""
     return F.sqrt(F.pow(F.lit(2.0), x) + F.lit(0.375))

@@ -24,10 +24,10 @@ def split_at_breakpoints(bins: DataFrame, breaks: DataFrame, keys: list[str], se
 
 
 def collapse_segments(bins: DataFrame, keys: list[str], seg: str = "seg_id", log2r: str = "seg_log2r") -> DataFrame:
-    """One row a segment: bins, their length, its weight against the median bin, and relative copy number."""
+    """One row a segment: bins, their length, its weight against the median bin, and relative copy number (of the first bin that has one)."""
     length = F.col("end") - F.col("start")
     mid = bins.agg(F.median(length).alias("_mid"))
-    rows = bins.groupBy(*keys, seg).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("bin_count"), F.sum(length).alias("sum_of_bin_lengths"), F.min_by(log2r, "start").alias("_l"))
+    rows = bins.groupBy(*keys, seg).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("bin_count"), F.sum(length).alias("sum_of_bin_lengths"), F.min_by(log2r, F.when(F.col(log2r).isNotNull(), F.col("start"))).alias("_l"))
     return rows.crossJoin(F.broadcast(mid)).withColumns({"weight": F.col("sum_of_bin_lengths") / F.col("_mid"), "relative_cn": F.pow(F.lit(2.0), F.col("_l"))}).drop("_l", "_mid")
 
 

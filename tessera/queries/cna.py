@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.numeric import inflation_factor, search_space
+from tessera.functions.numeric import inflation_factor, log2, search_space
 from tessera.operators import alleles, bins, fit, segment, smooth
 from tessera.plans.params import CnaParams
 from tessera.queries.registry import EVENTS, events, load, query
@@ -107,7 +107,7 @@ b AS (SELECT user_id, 'u' || user_id || '_seg' || (event_id // 700) AS seg_id, e
 
 def _bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("event_id")
-    return events(spark, sf_dir).select("user_id", F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("_seg"), F.expr("event_id div 700").cast("string")).alias("seg_id"), (i * 10).alias("start"), (i * 10 + i % 9 + 1).alias("end"), F.log2(F.col("value") / 245).alias("seg_log2r"), "event_id", "event_type")
+    return events(spark, sf_dir).select("user_id", F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("_seg"), F.expr("event_id div 700").cast("string")).alias("seg_id"), (i * 10).alias("start"), (i * 10 + i % 9 + 1).alias("end"), log2(F.col("value") / 245).alias("seg_log2r"), "event_id", "event_type")
 
 
 _SEGMENTS = f"""{_BINS},

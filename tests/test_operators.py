@@ -101,6 +101,22 @@ def test_copy_numbers(spark):
     assert rows(classify.change_points(seg, ["k"]), "run_start", "run_end", "segment") == [(1, 201, "s1"), (201, 301, "s3")]
 
 
+def _zero_events(spark):
+    data = [(1, 1, 10, "view", 0.0), (1, 2, 20, "error", 490.0), (1, 3, 30, "view", None), (2, 4, 40, "error", 0.0), (2, 5, 50, "view", 245.0)]
+    return spark.createDataFrame(data, "user_id long, event_id long, pos long, event_type string, value double")
+
+
+def test_segments_of_no_reads_have_no_copies(spark, monkeypatch):
+    from tessera.queries import cna
+
+    monkeypatch.setattr(cna, "events", lambda *_: _zero_events(spark))
+    assert rows(cna.segment_collapse(spark, ""), "seg_id", "bin_count", "relative_cn") == [("u1_seg0", 3, 0.0), ("u2_seg0", 2, 0.0)]
+    got = spark.createDataFrame([(0.0,), (8.0,), (-1.0,), (None,)], "x double").select(numeric.log2(F.col("x")).alias("y")).collect()
+    assert [str(r[0]) for r in got] == ["-inf", "3.0", "nan", "None"]
+    first_missing = spark.createDataFrame([(1, 5, None), (7, 9, 1.0)], "start long, end long, seg_log2r double").withColumns({"k": F.lit(1), "seg_id": F.lit("s")})
+    assert rows(fit.collapse_segments(first_missing, ["k"]), "relative_cn") == [(2.0,)]
+
+
 def test_exclusive_matching(spark):
     calls = spark.createDataFrame([(1, 1010), (2, 1005), (3, 5000)], "call_id long, call_pos long").withColumn("k", F.lit(1))
     truth = spark.createDataFrame([(9, 1000)], "truth_id long, truth_pos long").withColumn("k", F.lit(1))
