@@ -32,6 +32,6 @@ def smooth_outliers(df: DataFrame, keys: list[str], x: str, order: list[str], k:
     median = (F.element_at("_all", F.floor((F.col("_n") + 1) / 2).cast("int")) + F.element_at("_all", F.floor((F.col("_n") + 2) / 2).cast("int"))) / 2
     v, o = F.col(x), F.col(outlier)
     near = F.exists("_near", lambda y: F.abs(v - y) <= o) | (F.size("_near") == 0)
-    above, below = F.forall("_near", lambda y: v - y > 0), F.forall("_near", lambda y: v - y < 0)
+    above, below = F.forall("_near", lambda y: v > y), F.forall("_near", lambda y: v < y)
     out = F.when(near, v).when(above, median + F.col(shrink)).when(below, median - F.col(shrink)).otherwise(v)
     return df.withColumn(name, out).drop("_near", "_all", "_n")

@@ -86,7 +86,7 @@ k AS (SELECT event_type, d, row_number() OVER (PARTITION BY event_type ORDER BY
 SELECT event_type, round(sum(d * d) / (2 * max(keep)) * {inflation_factor(0.025)!r}::DOUBLE, 6) AS variance FROM k WHERE k <= keep GROUP BY event_type
 """)
 def trimmed_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir).withColumn("x", F.log2("value"))
+    e = events(spark, sf_dir).withColumn("x", log2(F.col("value")))
     return smooth.trimmed_variance(e, ["event_type"], "x", ["pos", "event_id"]).select("event_type", F.round("variance", 6).alias("variance"))
 
 
@@ -97,7 +97,7 @@ w AS (SELECT *, list_concat(coalesce(list(x) OVER (PARTITION BY event_type ORDER
 SELECT event_id, round(CASE WHEN len(list_filter(nb, lambda v: abs(x - v) <= 0.5)) > 0 OR len(nb) = 0 THEN x WHEN x > list_max(nb) THEN m + 0.25 WHEN x < list_min(nb) THEN m - 0.25 ELSE x END, 6) AS smoothed FROM w
 """)
 def smooth_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir).withColumns({"x": F.log2("value"), "o": F.lit(0.5), "s": F.lit(0.25)})
+    e = events(spark, sf_dir).withColumns({"x": log2(F.col("value")), "o": F.lit(0.5), "s": F.lit(0.25)})
     return smooth.smooth_outliers(e, ["event_type"], "x", ["pos", "event_id"], 10, "o", "s").select("event_id", F.round("smoothed", 6).alias("smoothed"))
 
 

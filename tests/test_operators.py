@@ -117,6 +117,17 @@ def test_segments_of_no_reads_have_no_copies(spark, monkeypatch):
     assert rows(fit.collapse_segments(first_missing, ["k"]), "relative_cn") == [(2.0,)]
 
 
+def test_smoothing_of_zeros(spark, monkeypatch):
+    from tessera.queries import cna
+
+    data = [(1, i, i, "view", v) for i, v in enumerate([4.0, 0.0, 4.0, 0.0, 4.0])]
+    ev = spark.createDataFrame(data, "user_id long, event_id long, pos long, event_type string, value double")
+    monkeypatch.setattr(cna, "events", lambda *_: ev)
+    assert [r[1] for r in rows(cna.smooth_outliers(spark, ""), "event_id", "smoothed")] == [2.0, float("-inf"), 2.0, float("-inf"), 2.0]
+    monkeypatch.setattr(cna, "events", lambda *_: ev.filter("event_id < 3"))
+    assert [r[1] for r in rows(cna.smooth_outliers(spark, ""), "event_id", "smoothed")] == [2.0, 1.75, 2.0]
+
+
 def test_exclusive_matching(spark):
     calls = spark.createDataFrame([(1, 1010), (2, 1005), (3, 5000)], "call_id long, call_pos long").withColumn("k", F.lit(1))
     truth = spark.createDataFrame([(9, 1000)], "truth_id long, truth_pos long").withColumn("k", F.lit(1))
