@@ -111,6 +111,7 @@ def test_segments_of_no_reads_have_no_copies(spark, monkeypatch):
 
     monkeypatch.setattr(cna, "events", lambda *_: _zero_events(spark))
     assert rows(cna.segment_collapse(spark, ""), "seg_id", "bin_count", "relative_cn") == [("u1_seg0", 3, 0.0), ("u2_seg0", 2, 0.0)]
+    assert rows(cna.sv_split_segments(spark, ""), "split_id", "n_bins", "seg_log2r") == [("u1_seg0", 1, float("-inf")), ("u1_seg0-SV1", 2, 1.0), ("u2_seg0-SV1", 2, float("-inf"))]
     got = spark.createDataFrame([(0.0,), (8.0,), (-1.0,), (None,)], "x double").select(numeric.log2(F.col("x")).alias("y")).collect()
     assert [str(r[0]) for r in got] == ["-inf", "3.0", "nan", "None"]
     first_missing = spark.createDataFrame([(1, 5, None), (7, 9, 1.0)], "start long, end long, seg_log2r double").withColumns({"k": F.lit(1), "seg_id": F.lit("s")})
