@@ -258,5 +258,5 @@ def block_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def cbs_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = events(spark, sf_dir).select(F.col("event_type").alias("contig"), F.col("pos").alias("start"), "event_id", F.log2("value").alias("log2r"))
+    b = events(spark, sf_dir).select(F.col("event_type").alias("contig"), F.col("pos").alias("start"), "event_id", log2(F.col("value")).alias("log2r"))
     return segment.segment_profiles(b).select("contig", "start", "event_id", "seg_id", "seg_log2r")

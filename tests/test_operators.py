@@ -154,6 +154,30 @@ def test_segmentation_finds_steps_and_repeats_itself(spark):
     assert rows(got, "start", "seg_id") == rows(segment.segment_profiles(df.coalesce(1), shuffles=200), "start", "seg_id")
 
 
+def test_pair_quantile_of_many_values_is_numpys():
+    rng = np.random.default_rng(4)
+    for values in (rng.normal(size=1203), rng.integers(0, 40, 1100) / 7, np.full(1001, 0.3)):
+        i, j = np.triu_indices(len(values), 1)
+        pairs = np.abs(values[i] - values[j])
+        for q in (0.0, 0.2, 0.77, 1.0):
+            assert segment.pair_quantile(list(values), q) == np.quantile(pairs, q)
+
+
+def test_profiles_pass_through_python_in_small_batches(spark):
+    rng = random.Random(5)
+    data = [(c, i // 2, i, None if c == "c" and i % 50 == 7 else float("-inf") if i % 40 == 3 else rng.gauss((0, 2, -2)[(i >= 100) + (i >= 200)], 0.2)) for c in "abc" for i in range(300)]
+    df = spark.createDataFrame(data, "contig string, start long, event_id long, log2r double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        got = rows(segment.segment_profiles(df.repartition(5), shuffles=100), "contig", "event_id", "seg_id", "seg_log2r")
+        assert got == rows(segment.segment_profiles(df.orderBy(F.desc("event_id")).coalesce(1), shuffles=100), "contig", "event_id", "seg_id", "seg_log2r")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 900 and {(r[1], r[2]) for r in got if r[0] == "a" and r[1] in (99, 100)} == {(99, "a_seg1"), (100, "a_seg2")}
+    plan = segment.segment_profiles(df)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "InPandas" not in plan
+
+
 def test_fit_recovers_purity_and_ploidy(spark):
     p, q = 0.7, 2.3
     copies = [2, 2, 2, 3, 1, 2, 4, 2, 3, 2, 3]
