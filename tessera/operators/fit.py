@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.numeric import absolute_copy_number, allele_copy_number, rounded, search_space
 from tessera.operators.joins import interval_join
+from tessera.session import ship
 
 
 def split_at_breakpoints(bins: DataFrame, breaks: DataFrame, keys: list[str], seg: str = "seg_id", start: str = "start") -> DataFrame:
@@ -37,14 +38,88 @@ def grid(spark: SparkSession, purities: list[float], ploidies: list[float]) -> D
     return spark.createDataFrame(rows, "i int, j int, purity double, ploidy double")
 
 
+#: Width of the cells of relative copy numbers within which sums are taken about the middle.
+_CELL = 0.5
+
+
+def _far_each(r: np.ndarray, w: np.ndarray, origin: np.ndarray, shift: np.ndarray, slope: np.ndarray, squared: bool) -> np.ndarray:
+    """Weighted distance from whole numbers at each point, segment by segment."""
+    far = np.zeros(len(slope))
+    for a in range(0, len(slope), 2048):
+        s = slice(a, a + 2048)
+        for b in range(0, len(r), 64):  # pieces that stay in cache
+            cn = origin[s] + (r[b : b + 64, None] - shift[s]) * slope[s]
+            d = np.abs(cn - np.rint(cn))
+            far[s] += w[b : b + 64] @ (d * d if squared else d)
+    return far
+
+
+def _far_cell(u: np.ndarray, w: np.ndarray, middle: np.ndarray, slope: np.ndarray, squared: bool) -> np.ndarray:
+    """The same for sorted values ``u`` about a middle, where copy numbers are ``middle``; slopes are positive.
+
+    Values that share the nearest whole number, and the side of it, are neighbours: their sum is a polynomial in the
+    slope whose coefficients are differences of running sums. These have 64 bits (long double), so that what cancels
+    lies below the last digit of a double.
+    """
+    step, off = (1.0, 0.5) if squared else (0.5, 0.0)
+    wide = u.astype(np.longdouble)
+    sums = [np.concatenate([[np.longdouble(0)], np.cumsum(wide**k * w)]) for k in range(3 if squared else 2)]
+    first, last = (np.floor((middle + x * slope - off) / step) for x in (u[0], u[-1]))
+    far = np.zeros(len(slope), np.longdouble)
+    before = [x[0] for x in sums]
+    for t in range(int((last - first).max()) + 1):
+        piece = first + t
+        upto = np.where(piece >= last, len(u), np.searchsorted(u, ((piece + 1) * step + off - middle) / slope))
+        here = [x[upto] for x in sums]
+        part = [x - y for x, y in zip(here, before, strict=True)]
+        before = here
+        if squared:
+            rest = middle - (piece + 1)
+            far += rest * rest * part[0] + 2 * rest * slope * part[1] + slope.astype(np.longdouble) ** 2 * part[2]
+        else:
+            rest = middle - np.floor((piece + 1) / 2)
+            far += np.where(piece % 2 == 0, 1, -1) * (rest * part[0] + slope * part[1])
+    return far
+
+
+def far_sums(r: np.ndarray, w: np.ndarray, origin: np.ndarray, shift: np.ndarray, slope: np.ndarray, squared: bool = True) -> np.ndarray:
+    """Weighted distance of ``origin + (r - shift) * slope`` from whole numbers at each point.
+
+    Cells of many values are summed over whole numbers, not values; the others, and points of no slope, one by one.
+    """
+    out = np.zeros(len(slope), np.longdouble)
+    flat = ~(slope > 0)
+    if flat.any():
+        out[flat] = _far_each(r, w, origin[flat], shift[flat], slope[flat], squared)
+    if flat.all():
+        return out
+    origin, shift, slope = origin[~flat], shift[~flat], slope[~flat]
+    order = np.argsort(r, kind="stable")
+    r, w = r[order], w[order]
+    cell = np.floor(r / _CELL)
+    edges = np.concatenate([[0], np.flatnonzero(cell[1:] != cell[:-1]) + 1, [len(r)]])
+    enough = 24 * (slope.max() * _CELL * (1 if squared else 2) + 2)  # a whole number takes as long as this many values
+    alone = ~(np.isfinite(r) & np.isfinite(w))
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        if b - a < enough or alone[a:b].any():
+            alone[a:b] = True
+        else:
+            c = (cell[a] + 0.5) * _CELL
+            out[~flat] += _far_cell(r[a:b] - c, w[a:b], origin + (c - shift) * slope, slope, squared)
+    out[~flat] += _far_each(r[alone], w[alone], origin, shift, slope, squared)
+    return out
+
+
 def grid_distances(segments: DataFrame, points: DataFrame, squared: bool = True) -> DataFrame:
     """``points`` with the weighted distance of the segments' absolute copy numbers from whole numbers.
 
-    Each task adds up its segments at all points (bounded by the grid's parameters) as array operations and hands on one
-    row a point; these sums meet by (i, j). Nothing the size of segments times points is ever made.
+    Each task adds up its segments at all points (bounded by the grid's parameters), a million at a time, and hands on one
+    row a point; these sums meet by (i, j). Nothing the size of segments times points is ever made, and but for cells of
+    few segments (`far_sums`) the work is that of sorting segments, and of the points for each million of them.
     """
     rows = points.select("i", "j", "purity", "ploidy").collect()  # the grid itself
     shared = segments.sparkSession.sparkContext.broadcast(np.array([tuple(r) for r in rows], float).reshape(-1, 4))
+    ship(segments.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = shared.value
@@ -52,22 +127,28 @@ def grid_distances(segments: DataFrame, points: DataFrame, squared: bool = True)
         slope = np.where(purity > 0, ploidy + 2 / np.where(purity > 0, purity, 1) - 2, ploidy)
         origin = np.where(purity > 0, ploidy, 0.0)
         shift = np.where(purity > 0, 1.0, 0.0)
-        far, total, any_ = np.zeros(len(at)), 0.0, False
+        far, total, any_ = np.zeros(len(at), np.longdouble), 0.0, False
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def add() -> None:
+            nonlocal far
+            if held and len(at):
+                far += far_sums(*(np.concatenate(x) for x in zip(*held, strict=True)), origin, shift, slope, squared)
+            held.clear()
+
         for batch in batches:
-            r, w = (np.asarray(c.to_numpy(zero_copy_only=False), float) for c in batch.columns)
+            r, w = (np.array(c.to_numpy(zero_copy_only=False), float) for c in batch.columns)
             ok = ~(np.isnan(r) | np.isnan(w))
             r, w = r[ok], w[ok]
             any_ |= len(r) > 0
             total += w.sum()
-            for a in range(0, len(at), 2048):
-                s = slice(a, a + 2048)
-                for b in range(0, len(r), 64):  # pieces that stay in cache
-                    cn = origin[s] + (r[b : b + 64, None] - shift[s]) * slope[s]
-                    d = np.abs(cn - np.rint(cn))
-                    far[s] += w[b : b + 64] @ (d * d if squared else d)
+            held.append((r, w))
+            if sum(len(x) for x, _ in held) >= 1 << 20:
+                add()
+        add()
         if any_:
             n = len(at)
-            yield pa.RecordBatch.from_arrays([pa.array(at[:, 0].astype(np.int32)), pa.array(at[:, 1].astype(np.int32)), pa.array(far), pa.array(np.full(n, total))], ["i", "j", "_far", "_all"])
+            yield pa.RecordBatch.from_arrays([pa.array(at[:, 0].astype(np.int32)), pa.array(at[:, 1].astype(np.int32)), pa.array(far.astype(float)), pa.array(np.full(n, total))], ["i", "j", "_far", "_all"])
 
     part = segments.select(F.col("relative_cn").cast("double"), F.col("weight").cast("double")).mapInArrow(run, "i int, j int, _far double, _all double")
     share = F.sum("_far") / F.sum("_all")
@@ -181,8 +262,6 @@ def kde_modes(values: np.ndarray, points: int = 1000, least: float = 0.1) -> lis
 
 def block_modes(sites: DataFrame, block: str = "block_id", least: float = 0.1) -> DataFrame:
     """block, n_modes of the density of both allele fractions; blocks are windows of bounded size."""
-    from tessera.session import ship
-
     ship(sites.sparkSession)
 
     def modes(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -4,6 +4,7 @@ import inspect
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -187,6 +188,29 @@ def test_fit_recovers_purity_and_ploidy(spark):
     assert (p, q) in {(round(r["purity"], 2), round(r["ploidy"], 2)) for r in best.collect()}
 
 
+def test_grid_sums_follow_whole_numbers_not_segments(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    r = np.concatenate([np.round(rng.exponential(0.4, 4000), 3), [0.0, 0.5, -0.7, 1e6, 40.25]])  # 5 lie outside the cells of many
+    w = rng.integers(1, 10, len(r)) / 5
+    purity, ploidy = np.array([0.2, 0.35, 0.8, 1.0, 1.0, 0.0]), np.array([5.0, 1.5, 2.3, 4.0, 0.0, 2.0])
+    slope = np.array([p + 2 / q - 2 if q > 0 else p for q, p in zip(purity, ploidy)])
+    origin, shift = np.where(purity > 0, ploidy, 0.0), np.where(purity > 0, 1.0, 0.0)
+    cn = origin + (r[:, None] - shift) * slope
+    each, seen = fit._far_each, []
+    monkeypatch.setattr(fit, "_far_each", lambda r, *a: seen.append((len(r), len(a[1]))) or each(r, *a))
+    for squared in (True, False):
+        d = np.abs(cn - np.rint(cn))
+        want = w @ (d * d if squared else d)
+        assert np.abs(fit.far_sums(r, w, origin, shift, slope, squared).astype(float) / want - 1)[slope != 0].max() < 1e-12
+    assert sum(n for n, points in seen if points == 5) < 800  # of 8,010; the point of no slope is summed alone
+    seg = spark.createDataFrame(pd.DataFrame({"relative_cn": r[:4002], "weight": w[:4002]})).repartition(3)
+    got = {(x["i"], x["j"]): x["distance"] for x in fit.grid_distances(seg, fit.grid(spark, [0.2, 0.8], [1.5, 2.3])).collect()}
+    for i, p in enumerate((0.2, 0.8)):
+        for j, q in enumerate((1.5, 2.3)):
+            cn = q + (r[:4002] - 1) * (q + 2 / p - 2)
+            assert abs(got[i, j] - np.sqrt((w[:4002] @ (cn - np.rint(cn)) ** 2) / w[:4002].sum())) < 1e-13
+
+
 def test_forest_and_conformal_sets(spark):
     rng = random.Random(2)
     data = [(i, float(y), y * 2 + rng.gauss(0, 0.4), rng.random()) for i in range(600) for y in [rng.randint(0, 1)]]
