@@ -243,16 +243,25 @@ def cellularity(sites: DataFrame, blocks: DataFrame, n_top: int = 10, block: str
     return halves.agg(F.avg(((1 - 2 * (1 - F.col("hi"))) + (1 - 2 * F.col("lo"))) / 2).alias("cellularity"))
 
 
-def kde_modes(values: np.ndarray, points: int = 1000, least: float = 0.1) -> list[tuple[float, float]]:
-    """(place, share) of the modes of a Gaussian density (Scott's bandwidth) that hold ``least`` of its mass or more."""
-    x = np.asarray(values, float)
-    if len(x) < 2 or np.all(x == x[0]):
+def kde_modes(values: np.ndarray, points: int = 1000, least: float = 0.1, counts: np.ndarray | None = None) -> list[tuple[float, float]]:
+    """(place, share) of the modes of a Gaussian density (Scott's bandwidth) that hold ``least`` of its mass or more.
+
+    ``counts`` says how often each value occurs (once, by default).
+    """
+    values = np.asarray(values, float)
+    n = np.ones(len(values)) if counts is None else np.asarray(counts, float)
+    known = ~np.isnan(values)
+    x, inverse = np.unique(values[known], return_inverse=True)
+    n = np.bincount(inverse, n[known], len(x))
+    size = n.sum()
+    if len(x) < 2:
         return []
-    width = x.std(ddof=1) * len(x) ** -0.2
-    at = np.linspace(x.min() - width, x.max() + width, points)
+    mean = n @ x / size
+    width = np.sqrt(n @ (x - mean) ** 2 / (size - 1)) * size**-0.2
+    at = np.linspace(x[0] - width, x[-1] + width, points)
     density = np.zeros(points)
     for i in range(0, len(x), 20_000):  # some values at a time, so that memory stays small
-        density += np.exp(-0.5 * ((at[:, None] - x[None, i : i + 20_000]) / width) ** 2).sum(1)
+        density += np.exp(-0.5 * ((at[:, None] - x[None, i : i + 20_000]) / width) ** 2) @ n[i : i + 20_000]
     turn = np.sign(np.diff(density))
     peaks = [i for i in range(1, points - 1) if turn[i - 1] > 0 and turn[i] <= 0]
     cuts = [0, *[a + int(np.argmin(density[a:b])) for a, b in zip(peaks, peaks[1:], strict=False)], points]
@@ -261,14 +270,19 @@ def kde_modes(values: np.ndarray, points: int = 1000, least: float = 0.1) -> lis
 
 
 def block_modes(sites: DataFrame, block: str = "block_id", least: float = 0.1) -> DataFrame:
-    """block, n_modes of the density of both allele fractions; blocks are windows of bounded size."""
+    """block, n_modes of the density of both allele fractions; blocks are windows of bounded size.
+
+    Equal fractions are counted before they come to Python: a block's work is that of its different fractions.
+    """
     ship(sites.sparkSession)
 
     def modes(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.concatenate([pdf["af_0"].to_numpy(float), pdf["af_1"].to_numpy(float)])
-        return pd.DataFrame({block: [pdf[block].iloc[0]], "n_modes": [len(kde_modes(x, least=least))]})
+        x, n = pdf["_af"].to_numpy(float), pdf["_n"].to_numpy(float)
+        return pd.DataFrame({block: [pdf[block].iloc[0]], "n_modes": [len(kde_modes(x, least=least, counts=n))]})
 
-    return sites.select(block, "af_0", "af_1").groupBy(block).applyInPandas(modes, f"{block} {dict(sites.dtypes)[block]}, n_modes int")
+    af = sites.select(block, F.explode(F.array(F.col("af_0").cast("double"), F.col("af_1").cast("double"))).alias("_af"))
+    counted = af.groupBy(block, "_af").agg(F.count(F.lit(1)).alias("_n"))
+    return counted.groupBy(block).applyInPandas(modes, f"{block} {dict(sites.dtypes)[block]}, n_modes int")
 
 
 def fit_purity_ploidy(segments: DataFrame, purity: tuple[float, float, float] = (0.2, 1.0, 0.01), ploidy: tuple[float, float, float] = (1.5, 5.0, 0.01), squared: bool = True) -> DataFrame:

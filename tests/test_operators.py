@@ -238,6 +238,23 @@ def test_modes_do_not_depend_on_the_number_of_values():
     assert len(fit.kde_modes(few)) == len(fit.kde_modes(np.repeat(few, 5))) == 1
 
 
+def test_modes_count_equal_fractions_once(spark):
+    rng = np.random.default_rng(7)
+    x = np.round(np.concatenate([rng.normal(0.3, 0.05, 4000), rng.normal(0.7, 0.05, 6000)]), 2)
+    seen, counts = np.unique(x, return_counts=True)
+    got, want = fit.kde_modes(seen, counts=counts), fit.kde_modes(x)
+    assert len(got) == 2 and np.allclose(got, want, rtol=1e-12) and [round(p, 1) for p, _ in got] == [0.3, 0.7]
+    width = x.std(ddof=1) * len(x) ** -0.2
+    at = np.linspace(x.min() - width, x.max() + width, 1000)
+    density = np.exp(-0.5 * ((at[:, None] - x) / width) ** 2).sum(1)
+    assert abs(got[1][0] - at[500 + density[500:].argmax()]) < 1e-9
+    sites = spark.createDataFrame(pd.DataFrame({"block_id": 1, "af_0": x, "af_1": 1 - x})).unionAll(spark.createDataFrame([(1, None, None), (2, None, 0.5)], "block_id long, af_0 double, af_1 double"))
+    many = fit.block_modes(sites)
+    assert rows(many, "block_id", "n_modes") == [(1, len(fit.kde_modes(np.concatenate([x, 1 - x])))), (2, 0)]
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("FlatMapGroupsInPandas") < plan.index("HashAggregate")  # counted before Python
+
+
 def test_registered_queries_keep_the_operators_defaults(spark, monkeypatch):
     from tessera.queries import cna, learn
 
