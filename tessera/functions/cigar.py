@@ -12,13 +12,12 @@ CONSUMES_REFERENCE = ("M", "D", "N", "=", "X")
 
 def operations(cigar: Column) -> Column:
     """ARRAY<STRUCT<op, len>> of a CIGAR string."""
-    tokens = F.regexp_extract_all(cigar, F.lit(r"([0-9]+[MIDNSHP=X])"), F.lit(1))
-    return F.transform(tokens, lambda t: F.struct(F.right(t, F.lit(1)).alias("op"), F.substring(t, F.lit(1), F.length(t) - 1).cast("int").alias("len")))
+    ops, lens = (F.regexp_extract_all(cigar, F.lit(p), F.lit(1)) for p in (r"[0-9]+([MIDNSHP=X])", r"([0-9]+)[MIDNSHP=X]"))
+    return F.arrays_zip(ops, lens.cast("array<int>")).cast("array<struct<op:string,len:int>>")
 
 
 def total(ops: Column, which: tuple[str, ...] | None = None) -> Column:
-    picked = ops if which is None else F.filter(ops, lambda o: o["op"].isin(*which))
-    return F.aggregate(picked, F.lit(0).cast("long"), lambda s, o: s + o["len"])
+    return F.aggregate(ops, F.lit(0).cast("long"), lambda s, o: s + (o["len"] if which is None else F.when(o["op"].isin(*which), o["len"]).otherwise(0)))
 
 
 def consumed_query(ops: Column) -> Column:
@@ -60,16 +59,17 @@ def reverse_complement(seq: Column) -> Column:
     return F.translate(F.reverse(seq), "ACGTNacgtn", "TGCANtgcan")
 
 
-def cursors(ops: Column) -> Column:
-    """Each operation with the read and reference offsets at which it begins."""
+def cursors(ops: Column, longer: Column | None = None) -> Column:
+    """Each operation (of more than ``longer`` bases) with the read and reference offsets at which it begins."""
     start = F.struct(F.lit(0).cast("long").alias("q"), F.lit(0).cast("long").alias("r"), F.array().cast("array<struct<op:string,len:int,q:bigint,r:bigint>>").alias("out"))
 
     def step(s: Column, o: Column) -> Column:
         here = F.struct(o["op"].alias("op"), o["len"].alias("len"), s["q"].alias("q"), s["r"].alias("r"))
+        more = F.concat(s["out"], F.array(here))
         return F.struct(
             (s["q"] + F.when(o["op"].isin(*CONSUMES_QUERY), o["len"]).otherwise(0)).alias("q"),
             (s["r"] + F.when(o["op"].isin(*CONSUMES_REFERENCE), o["len"]).otherwise(0)).alias("r"),
-            F.concat(s["out"], F.array(here)).alias("out"),
+            (more if longer is None else F.when(o["len"] > longer, more).otherwise(s["out"])).alias("out"),
         )
 
     return F.aggregate(ops, start, step, lambda s: s["out"])
@@ -88,14 +88,14 @@ def events_of(ops: Column, shortest: Column) -> Column:
 
     def step(s: Column, o: Column) -> Column:
         pending = F.when(s["from"].isNotNull(), event("DEL", F.lit(None), s["from"], s["to"] - s["from"])).otherwise(F.array().cast(kind))
-        long_ = o["len"] > shortest
-        out = F.when(long_ & (o["op"] == "I"), F.concat(s["out"], pending, event("INS", o["q"], o["r"], o["len"]))).when(long_ & (o["op"] != "D"), F.concat(s["out"], pending)).otherwise(s["out"])
-        nil = F.lit(None).cast("bigint")
-        begin = F.when(long_ & (o["op"] == "D"), F.coalesce(s["from"], o["r"])).when(long_, nil).otherwise(s["from"])
-        to = F.when(long_ & (o["op"] == "D"), o["r"] + o["len"]).when(long_, nil).otherwise(s["to"])
+        deletion = o["op"] == "D"  # all that come here are long
+        out = F.when(deletion, s["out"]).when(o["op"] == "I", F.concat(s["out"], pending, event("INS", o["q"], o["r"], o["len"]))).otherwise(F.concat(s["out"], pending))
+        begin = F.when(deletion, F.coalesce(s["from"], o["r"]))
+        to = F.when(deletion, o["r"] + o["len"])
         return F.struct(out.alias("out"), begin.alias("from"), to.alias("to"))
 
     def end(s: Column) -> Column:
         return F.when(s["from"].isNotNull(), F.concat(s["out"], event("DEL", F.lit(None), s["from"], s["to"] - s["from"]))).otherwise(s["out"])
 
-    return F.aggregate(cursors(ops), start, step, end)
+    none = ~F.exists(ops, lambda o: (o["len"] > shortest) & o["op"].isin("I", "D"))
+    return F.when(none, F.array().cast(kind)).otherwise(F.aggregate(cursors(ops, shortest), start, step, end))

@@ -2,6 +2,7 @@
 
 import inspect
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -80,6 +81,32 @@ def test_cigar_and_sa(spark):
     assert spark.range(1).select(cigar.reverse_complement(F.lit("AACGt"))).first()[0] == "aCGTT"
 
 
+def test_cigar_keeps_long_operations_alone(spark):
+    rng = random.Random(8)
+    texts = ["".join(f"{rng.randint(1, 60)}{rng.choice('MIDNSH=X')}" for _ in range(rng.randint(1, 12))) for _ in range(60)] + ["*", "", "5M7", "031M40D", None]
+    df = spark.createDataFrame([(t,) for t in texts], "c string").withColumn("o", cigar.operations(F.col("c")))
+    got = df.select("c", "o", cigar.total(F.col("o")).alias("all"), cigar.consumed_query(F.col("o")).alias("q"), cigar.cursors(F.col("o"), F.lit(30)).alias("long"), cigar.events_of(F.col("o"), F.lit(30)).alias("e")).collect()
+    for x in got:
+        if x["c"] is None:
+            assert all(v is None for v in x)
+            continue
+        ops = [(o, int(n)) for n, o in re.findall(r"([0-9]+)([MIDNSHP=X])", x["c"])]
+        at = [(o, n, sum(m for p, m in ops[:i] if p in "MIS=X"), sum(m for p, m in ops[:i] if p in "MDN=X")) for i, (o, n) in enumerate(ops)]
+        assert [tuple(o) for o in x["o"]] == ops and x["all"] == sum(n for _, n in ops) and x["q"] == sum(n for o, n in ops if o in "MIS=X")
+        assert [tuple(o) for o in x["long"]] == [a for a in at if a[1] > 30]
+        want, began, to = [], None, None
+        for o, n, q, r in [a for a in at if a[1] > 30] + [("end", 0, 0, 0)]:
+            if o == "D":
+                began, to = r if began is None else began, r + n
+                continue
+            if began is not None:
+                want.append(("DEL", None, began, to - began))
+            began = None
+            if o == "I":
+                want.append(("INS", q, r, n))
+        assert [tuple(v) for v in x["e"]] == want
+
+
 def test_notations(spark):
     def alts(n):
         c = notation.alt_alleles(F.lit(n), F.lit("chr1"), F.lit(10), F.lit("chr2"), F.lit(20), F.lit("N"), F.lit("N"))
