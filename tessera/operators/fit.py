@@ -16,11 +16,15 @@ from tessera.session import ship
 
 
 def split_at_breakpoints(bins: DataFrame, breaks: DataFrame, keys: list[str], seg: str = "seg_id", start: str = "start") -> DataFrame:
-    """Segments of bins cut where a breakpoint begins a bin: new ids ``<seg>-SV<k>`` until the segment changes."""
-    marks = breaks.select(*keys, F.col("pos").alias(start)).distinct().withColumn("_sv", F.lit(1))
+    """Segments of bins cut where a breakpoint begins a bin: new ids ``<seg>-SV<k>`` until the segment changes.
+
+    ``k`` is the number of rows of ``breaks`` so far: repeated ones count each, and bins that share a start share the id.
+    """
+    marks = breaks.groupBy(*keys, F.col("pos").alias(start)).agg(F.count(F.lit(1)).alias("_sv"))
     rows = bins.join(marks, [*keys, start], "left")
-    order = Window.partitionBy(*keys, seg).orderBy(start).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_k", F.coalesce(F.sum("_sv").over(order), F.lit(0)))
+    order = Window.partitionBy(*keys, seg).orderBy(start)
+    rows = rows.withColumn("_sv", F.when(~F.lag(start).over(order).eqNullSafe(F.col(start)), F.col("_sv")))  # once a start
+    rows = rows.withColumn("_k", F.coalesce(F.sum("_sv").over(order), F.lit(0)))  # by range, that is with all bins of the start
     return rows.withColumn("split_id", F.when(F.col("_k") == 0, F.col(seg)).otherwise(F.concat(F.col(seg), F.lit("-SV"), F.col("_k").cast("string")))).drop("_sv", "_k")
 
 

@@ -29,7 +29,7 @@ def segments(profile: DataFrame, p: CnaParams, breaks: DataFrame | None = None)
     rows = profile.select("contig", "start", "end", F.col("smoothed").alias("log2r"))
     seg = segment.segment_profiles(rows, shuffles=p.shuffles, p_seg=p.p_seg, p_val=p.p_val, least=p.min_segment_size, quantile=p.quantile)
     if breaks is not None:
-        cut = fit.split_at_breakpoints(seg, breaks, ["contig"]).drop("seg_id", "seg_log2r").withColumnRenamed("split_id", "seg_id")
+        cut = fit.split_at_breakpoints(seg, breaks.select("contig", "pos").distinct(), ["contig"]).drop("seg_id", "seg_log2r").withColumnRenamed("split_id", "seg_id")
         level = cut.groupBy("contig", "seg_id").agg(F.median("log2r").alias("seg_log2r"))
         seg = cut.join(level, ["contig", "seg_id"])
     return fit.collapse_segments(seg, ["contig"]).withColumn("ord", F.struct("contig", "start"))

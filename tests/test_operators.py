@@ -146,6 +146,14 @@ def test_segments_of_no_reads_have_no_copies(spark, monkeypatch):
     assert rows(fit.collapse_segments(first_missing, ["k"]), "relative_cn") == [(2.0,)]
 
 
+def test_bins_that_share_a_start_share_the_segment(spark, monkeypatch):
+    from tessera.queries import cna
+
+    data = [(1, i, 0, kind, 245.0 * v) for i, kind, v in [(1, "view", 1), (2, "view", 1), (2, "error", 2), (2, "error", 4), (2, None, 8), (3, "view", 4), (3, "view", 4), (4, "error", 4), (4, "error", 4), (None, "error", 1)]]
+    monkeypatch.setattr(cna, "events", lambda *_: spark.createDataFrame(data, "user_id long, event_id long, pos long, event_type string, value double"))
+    assert rows(cna.sv_split_segments(spark, ""), "split_id", "n_bins", "seg_log2r") == [("u1_seg0", 1, 0.0), ("u1_seg0-SV2", 6, 2.0), ("u1_seg0-SV4", 2, 2.0), (None, 1, 0.0)]
+
+
 def test_smoothing_of_zeros(spark, monkeypatch):
     from tessera.queries import cna
 
