@@ -231,3 +231,15 @@ def test_every_gram_is_found_in_its_place_and_no_other():
     except RuntimeError:
         return
     raise AssertionError("a gram of no answer was found")
+
+
+def test_what_slots_hold():
+    """A slot holds twice its state and its check; with the bit in the lowest place it tells the odds for that bit and what is held next."""
+    for state in range(len(cm._ODDS)):
+        for bit in (0, 1):
+            for own, wanted in ((0, 0), (9, 9), (9, 4)):
+                checks = wanted << 9 | bit
+                seen = (state << 1 | own << 9) ^ checks
+                here = state if own == wanted else 0  # another context's slot is empty
+                assert math.isclose(cm._HELD_ODDS[seen], (1 if bit else -1) * cm._ODDS[here] / cm.STEP, rel_tol=1e-6)
+                assert int(cm._HELD_AFTER[seen]) ^ checks == int(cm._AFTER[here << 1 | bit]) << 1 | wanted << 9
